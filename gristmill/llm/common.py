@@ -39,9 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(doc_id: Column | str = "doc_id") -> Column:
+def held_out(doc_id: str) -> Column:
     """True for rows that no model may learn from; a null id is held out."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(True)) if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(True))
+    fold = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
+    return F.coalesce(fold == HELD_OUT_REMAINDER, F.lit(True))
 
 
 #: Java regular expression of one word: a run of anything but ASCII white space.
