@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import langid, toxicity
-from gristmill.llm.common import held_out, table
+from gristmill.llm import langid, mixing, orderhash, secrets, tokenfile, toxicity, urlfilter
+from gristmill.llm.common import held_out, settle, table
 from gristmill.llm.jaccard import jaccard_classes
 
 
@@ -30,10 +30,49 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.findings(docs, settle(secrets.scan_new(docs)))
+    listed = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kinds = F.transform("found", lambda s: s["kind"])
+    counts = [(F.size("found") - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}") for r in secrets.RULES]
+    return found.select("doc_id", *counts, F.sha2(listed.cast("binary"), 256).alias("base_sha256"), listed.alias("spans"))
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("words"))
+    return mixing.mix(docs, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    uri, manifest = tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokenfile.read(uri, manifest)
+
+
+#: The query's own rules, as text: host, path and verdict.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, spark.createDataFrame(URL_RULES, urlfilter.RULE_SCHEMA)).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
+    "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_mixing": op8_mixing,
+    "op9_token_ids": op9_token_ids,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE: dict[str, str] = {}
