@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import langid, mixing, orderhash, secrets, tokenfile, toxicity, urlfilter
+from gristmill.llm import decontaminate, langid, mixing, orderhash, secrets, tokenfile, toxicity, urlfilter
 from gristmill.llm.common import held_out, settle, table
 from gristmill.llm.jaccard import jaccard_classes
 
@@ -23,6 +23,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    every = docs.select("doc_id").join(found, "doc_id", "left")
+    return every.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -67,6 +74,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
     "op7_document_fingerprints": op7_document_fingerprints,
