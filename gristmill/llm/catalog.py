@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, langid, mixing, orderhash, secrets, tokenfile, toxicity, urlfilter
+from gristmill.llm import decontaminate, langid, mixing, orderhash, repeats, secrets, tokenfile, toxicity, urlfilter
 from gristmill.llm.common import held_out, settle, table
 from gristmill.llm.jaccard import jaccard_classes
 
@@ -46,6 +46,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed.cast("binary"), 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orderhash.edited_neighbours(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_secret_scan": op5_secret_scan,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_token_ids": op9_token_ids,
