@@ -260,7 +260,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     profile = settle(docs.mapInArrow(_profile(width), "id long, n long, h1 long, h2 long, vec binary"))
     known = profile.filter("n > 0 and id is not null")
     sets = known.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    copies = settle(known.join(sets.filter("rep != last").drop("last"), ["n", "h1", "h2"]).filter("id != rep").select("id", "rep"))
+    # Written first, so that a set which most rows share is one side's plain key and Spark can split its rows.
+    shared = settle(sets.filter("rep != last").drop("last"))
+    shared = F.broadcast(shared) if shared.count() <= COPIES_BROADCAST else shared
+    copies = settle(known.join(shared, ["n", "h1", "h2"]).filter("id != rep").select("id", "rep"))
     few = copies.count() <= COPIES_BROADCAST
     alone = docs.filter("id is not null and text is not null").join(F.broadcast(copies.select("id")) if few else copies.select("id"), "id", "left_anti").select("id", "text")
 

@@ -119,11 +119,28 @@ def windows(text: bytes, spans: list[tuple[int, int]], length: int) -> tuple[np.
 
 
 def _sampled(length: int):
+    """Rows to be shuffled: one for each distinct pair of core and surroundings of a batch, with its count.
+
+    Samples that repeat within the batch are known to be repeated windows at
+    once; they come out with ``sent`` false for all but the first of them, so a
+    passage that fills the input reaches the shuffle once a batch.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, texts = b.column(0).to_numpy(zero_copy_only=False), [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            for owner, s, e, core, around in samples(texts, length):
-                yield pa.record_batch([pa.array(core.view(np.int64)), pa.array(around.view(np.int64)), pa.array(keys[owner]), pa.array(s), pa.array(e)], ["core", "around", "key", "s", "e"])
+            parts = list(samples(texts, length))
+            if not parts:
+                continue
+            owner, s, e, core, around = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((around, core))
+            new = np.append(True, (core[order][1:] != core[order][:-1]) | (around[order][1:] != around[order][:-1]))[: len(order)]
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(order)))
+            sent, count = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=np.int64)
+            sent[order] = new
+            count[order] = np.repeat(times, times)
+            yield pa.record_batch([pa.array(core.view(np.int64)), pa.array(around.view(np.int64)), pa.array(keys[owner]), pa.array(s), pa.array(e), pa.array(count), pa.array(sent)], ["core", "around", "key", "s", "e", "count", "sent"])
 
     return run
 
@@ -190,16 +207,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     texts = single.unionByName(_in(long_texts, copied, "left_semi").groupBy("key").agg(F.first("text").alias("text")))
 
     by_core, by_both = Window.partitionBy("core"), Window.partitionBy("core", "around")
+    sampled = settle(texts.mapInArrow(_sampled(length), "core long, around long, key long, s long, e long, count long, sent boolean"))
     met = (
-        texts.mapInArrow(_sampled(length), "core long, around long, key long, s long, e long")
-        .withColumns({"n": F.count("*").over(by_core), "low": F.min("around").over(by_core), "high": F.max("around").over(by_core)})
+        sampled.filter("sent")
+        .withColumns({"n": F.sum("count").over(by_core), "low": F.min("around").over(by_core), "high": F.max("around").over(by_core)})
         .filter("n > 1")
-        .withColumns({"same": F.count("*").over(by_both), "nth": F.row_number().over(by_both.orderBy("key", "s"))})
+        .withColumns({"same": F.sum("count").over(by_both), "nth": F.row_number().over(by_both.orderBy("key", "s"))})
         .withColumn("least", F.min("same").over(by_core))
-        .select("key", "s", "e", (F.col("same") == 1).alias("lone"), ((F.col("low") != F.col("high")) & (F.col("least") == 1) & (F.col("nth") == 1)).alias("open"))
+        .select("key", "s", "e", "count", (F.col("same") == 1).alias("lone"), ((F.col("low") != F.col("high")) & (F.col("least") == 1) & (F.col("nth") == 1)).alias("open"))
     )
     met = settle(met)
-    whole = met.filter(~F.col("lone")).select("key", "s", (F.col("e") + length).alias("e"))
+    whole = met.filter("not lone and count = 1").select("key", "s", (F.col("e") + length).alias("e")).unionByName(sampled.filter("count > 1").select("key", "s", (F.col("e") + length).alias("e")))
     todo = settle(met.filter("open").groupBy("key").agg(F.collect_list(F.struct("s", "e", "lone")).alias("spans")))
     found = (
         _in(texts, todo.select("key"), "left_semi")

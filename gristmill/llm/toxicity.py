@@ -82,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(held[0][some], rows[0])), pa.array(np.append(held[1][some], rows[1]))], ["feature", "clean", "toxic"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", kept_features: int = 6000, sample_rows: int = 12_000, smoothing: float = 1.0, l2: float = 2.0) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", kept_features: int = 4000, sample_rows: int = 8000, smoothing: float = 1.0, l2: float = 2.0) -> ToxicModel:
     """Counts over all labelled rows; the regression on at most ``sample_rows`` of them, by least id hash.
 
     No labelled rows: a model that scores 0. One class only: its share decides.
@@ -117,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = near.select("text", "y").mapInArrow(picked, "y int, x array<int>").toArrow()
     y = got.column("y").to_numpy().astype(float)
     lists = got.column("x").combine_chunks()
-    x = lists.flatten().to_numpy().astype(np.int64)
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    x = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     w, b = _fit(row, x, ratio, y, l2)
     weight = np.zeros(1 << BITS)
     weight[f[top]] = w * ratio
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _fit(row: np.ndarray, x: np.ndarray, ratio: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient descent with a step from the data's own curvature."""
-    value = ratio[x]
+    value = ratio[x].astype(np.float32)
     n = max(1, len(y))
     mass = np.bincount(row, np.abs(value), n)
     reach = np.bincount(x, np.abs(value) * mass[row], len(ratio))
