@@ -141,7 +141,8 @@ def in_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Runs are equal stretches of the id range. The closing row has tail = 1; the
     last run is closed by the very first row. Null ids come first, equal ids are
-    ordered by text. Only the text is shuffled, once.
+    ordered by text. Only the text is shuffled, once; the runs' first ids, at
+    most ``RUNS`` rows of 24 bytes by construction, are broadcast.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lo, hi, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
@@ -152,7 +153,7 @@ def in_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = Window.orderBy("run")
     before = firsts.withColumn("receiver", F.coalesce(F.lag("run").over(order), F.max("run").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     same = F.col("h.id").eqNullSafe(F.col("r.id")) & (F.col("h.run") == F.col("r.run"))
-    heads = rows.alias("r").join(before.alias("h"), same).groupBy(F.col("h.receiver").alias("run"), F.col("h.id").alias("id")).agg(F.min("r.text").alias("text"))
+    heads = rows.alias("r").join(F.broadcast(before).alias("h"), same).groupBy(F.col("h.receiver").alias("run"), F.col("h.id").alias("id")).agg(F.min("r.text").alias("text"))
     both = rows.select("run", F.lit(0).alias("tail"), "id", "text").unionByName(heads.select("run", F.lit(1).alias("tail"), "id", "text"))
     return both.repartition("run").sortWithinPartitions("run", "tail", F.col("id").asc_nulls_first(), "text")
 

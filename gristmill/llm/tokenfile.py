@@ -13,9 +13,11 @@ The bases of the parts are prefix sums over the manifest, one row a part.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,8 @@ from gristmill.llm.wordhash import slices
 
 DOC = np.dtype([("id", "<i8"), ("null", "u1")])
 MANIFEST = "part int, name string, docs long, tokens long"
-#: Pieces a worker remembers with their ids; it starts afresh beyond that.
-REMEMBERED = 400_000
+#: Pieces of a generation. A worker remembers two: when one is full the older is let go.
+REMEMBERED = 250_000
 
 
 def _class(start: str) -> str:
@@ -59,19 +61,26 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         self.end = np.array([end_id], dtype=self.type).tobytes()
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text and the end id, as bytes of the file's integer type."""
         cut = [_WHITE.split(t) if _NOT_PLAIN.search(t) else _PIECES.findall(t.lower()) for t in (x or "" for x in texts)]
-        fresh = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
-            fresh = list(set().union(*cut))
-        for lo in range(0, len(fresh), 10_000):
-            part = fresh[lo : lo + 10_000]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        fresh = set().union(*cut).difference(self.known)
+        again = fresh.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        new = list(fresh.difference(again))
+        for lo in range(0, len(new), 10_000):
+            part = new[lo : lo + 10_000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, dtype=self.type).tobytes()
+                ids = array(self.code, e.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                self.known[piece] = ids.tobytes()
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) + self.end for pieces in cut]
 
