@@ -37,20 +37,20 @@ REMEMBERED = 250_000
 
 
 def _class(start: str) -> str:
-    return "".join(re.escape(chr(p)) for p in range(0x250) if unicodedata.category(chr(p))[0] == start)
+    return "".join(re.escape(chr(p)) for p in range(0x180) if unicodedata.category(chr(p))[0] == start)
 
 
 _SPACES = r"\t-\r \x85\xa0"
-#: The vocabulary's own pre-tokenisation for lower-case text below U+0250, where it is plain.
+#: The vocabulary's own pre-tokenisation for lower-case text below U+0180, where it is plain.
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACES}{_class('L')}{_class('N')}]+")
-_NOT_PLAIN = re.compile("[^\x00-įı-ɏ]|<\\|")
+_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
 _WHITE = re.compile(r"[\t-\r ]+")
 
 
 class PieceEncoder:
     """Encodes whole texts through a memory of pieces that the tokenizer treats independently.
 
-    Text below U+0250 is lower-cased and cut as the vocabulary's pre-tokeniser
+    Text below U+0180 is lower-cased and cut as the vocabulary's pre-tokeniser
     cuts it. Any other text, and any with a mark that may begin a special
     token, is cut at ASCII white space only, which the vocabulary drops.
     """
@@ -62,25 +62,40 @@ class PieceEncoder:
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         self.end = np.array([end_id], dtype=self.type).tobytes()
         self.code = "H" if self.type.itemsize == 2 else "I"
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _learn_together(self, part: list[str]) -> None:
+        """Encode many pieces as one text; the vocabulary marks the last token of each."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(part) and ends[-1] == len(ids):
+            raw, at = ids.astype(self.type).tobytes(), (ends * self.type.itemsize).tolist()
+            self.known.update((p, raw[s:e]) for p, s, e in zip(part, [0, *at[:-1]], at, strict=True))
+
+    def _learn(self, part: list[str]) -> None:
+        for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            ids = array(self.code, e.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            self.known[piece] = ids.tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text and the end id, as bytes of the file's integer type."""
-        cut = [_WHITE.split(t) if _NOT_PLAIN.search(t) else _PIECES.findall(t.lower()) for t in (x or "" for x in texts)]
+        cut = [_WHITE.split(t) if ("<|" in t if t.isascii() else _NOT_PLAIN.search(t)) else _PIECES.findall(t.lower()) for t in (x or "" for x in texts)]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         fresh = set().union(*cut).difference(self.known)
-        again = fresh.intersection(self.older)
+        again = [p for p in fresh if p in self.older]
         self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
         new = list(fresh.difference(again))
-        for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = array(self.code, e.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                self.known[piece] = ids.tobytes()
+        single = [p for p in new if _PIECES.fullmatch(p)] if self.closes.any() else []
+        for lo in range(0, len(single), 1000):
+            self._learn_together(single[lo : lo + 1000])
+        self._learn([p for p in new if p not in self.known])
         known = self.known.__getitem__
         return [b"".join(map(known, pieces)) + self.end for pieces in cut]
 
