@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gristmill.llm import decontaminate, langid, mixing, orderhash, repeats, secrets, tokenfile, toxicity, urlfilter
 from gristmill.llm.common import held_out, settle, table
 from gristmill.llm.jaccard import jaccard_classes
+from gristmill.llm.oracle import ORACLE  # noqa: F401  read by the entry point
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,5 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
     "op10_url_filter": op10_url_filter,
 }
-
-ORACLE: dict[str, str] = {}
