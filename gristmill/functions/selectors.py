@@ -142,9 +142,6 @@ def combine(text: str, delimiter: str = "") -> Column:
     if not any(v.is_list for v in values):
         return F.concat_ws(delimiter, *[v.column for v in values])
     longest = F.greatest(*[F.size(_as_list(v)) for v in values]) if len(values) > 1 else F.size(_as_list(values[0]))
-
-    def at(v: Value, i: Column) -> Column:
-        return F.try_element_at(v.column, i) if v.is_list else v.column
-
-    places = F.when(longest > 0, F.sequence(F.lit(1), longest)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.concat_ws(delimiter, *[at(v, i) for v in values]))
+    columns = [v.column if v.is_list else F.array_repeat(v.column, longest) for v in values]
+    zipped = F.arrays_zip(*[c.alias(f"v{k}") for k, c in enumerate(columns)])
+    return F.transform(zipped, lambda x: F.concat_ws(delimiter, *[x[f"v{k}"] for k in range(len(columns))]))

@@ -62,8 +62,10 @@ def _pair_texts(pairs: Column, distance: int) -> Column:
 def word_windows(text: Column | str, width: int = 3) -> Column:
     """Distinct windows of ``width`` words joined by spaces; none if the text has fewer."""
     w = words(text)
-    starts = F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, width), " ")))
+    n = F.greatest(F.size(w) - (width - 1), F.lit(0))
+    # Zipped slices, so that the words are found once and not once for each window.
+    shifted = F.arrays_zip(*[F.slice(w, i + 1, n).alias(f"w{i}") for i in range(width)])
+    return F.array_distinct(F.transform(shifted, lambda x: F.concat_ws(" ", *[x[f"w{i}"] for i in range(width)])))
 
 
 def parse_host(url: Column | str) -> Column:
