@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import held_out
+from gristmill.llm.common import held_out, settle
 from gristmill.llm.wordhash import mix, slices
 
 _U = np.uint64
@@ -88,20 +88,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     No labelled rows: a model that scores 0. One class only: its share decides.
     """
     rows = _labelled(docs, labels, id_col, text_col, label_col)
-    counts = rows.select("text", "y").mapInArrow(_count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    total = counts[counts["feature"] == -1]
-    if total.empty or not (total["clean"] + total["toxic"]).sum():
+    counts = settle(rows.select("text", "y").mapInArrow(_count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    total = counts.filter("feature = -1").first()
+    if total is None or not total["clean"] + total["toxic"]:
         return ToxicModel(np.zeros(1 << BITS), -500.0)
-    n0, n1 = float(total["clean"].sum()), float(total["toxic"].sum())
-    counts = counts[counts["feature"] >= 0]
-    f, c, t = (counts[k].to_numpy() for k in ("feature", "clean", "toxic"))
-    p, q = (t + smoothing) / (n1 + 2 * smoothing), (c + smoothing) / (n0 + 2 * smoothing)
-    r = np.log(p / q)
-    sure = np.abs(r) / np.sqrt((1 - p) / (t + smoothing) + (1 - q) / (c + smoothing))
-    top = np.lexsort((f, -sure))[:kept_features]
+    n0, n1 = float(total["clean"]), float(total["toxic"])
+    c, t = F.col("clean") + F.lit(smoothing), F.col("toxic") + F.lit(smoothing)
+    p, q = t / (n1 + 2 * smoothing), c / (n0 + 2 * smoothing)
+    ranked = counts.filter("feature >= 0").withColumns({"r": F.ln(p / q), "sure": F.abs(F.ln(p / q)) / F.sqrt((1 - p) / t + (1 - q) / c)})
+    best = ranked.orderBy(F.col("sure").desc(), "feature").limit(kept_features).toPandas()  # kept_features rows at most
+    f, ratio = best["feature"].to_numpy(dtype=np.int64), best["r"].to_numpy(dtype=float)
     slot = np.full(1 << BITS, -1, dtype=np.int64)
-    slot[f[top]] = np.arange(len(top))
-    ratio = r[top]
+    slot[f] = np.arange(len(f))
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -121,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     w, b = _fit(row, x, ratio, y, l2)
     weight = np.zeros(1 << BITS)
-    weight[f[top]] = w * ratio
+    weight[f] = w * ratio
     return ToxicModel(weight, b)
 
 
