@@ -23,6 +23,8 @@ _U = np.uint64
 #: n-gram lengths in code points, and the bits of a hashed feature.
 GRAMS = (4, 5, 6)
 BITS = 20
+#: Characters of text whose n-grams are held at once.
+SLICE = 400_000
 #: Ids of labelled rows up to this many are broadcast (12 bytes each), else joined by shuffle.
 LABELS_BROADCAST = 1_000_000
 
@@ -73,7 +75,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = np.zeros(2, dtype=np.int64)
     for b in batches:
         texts, y = b.column(0).to_pylist(), b.column(1).to_numpy()
-        for lo, hi in slices(texts):
+        for lo, hi in slices(texts, SLICE):
             row, f = features(texts[lo:hi])
             for c in (0, 1):
                 held[c] += np.bincount(f[y[lo:hi][row] == c], minlength=1 << BITS)
@@ -83,7 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", kept_features: int = 4000, sample_rows: int = 8000, smoothing: float = 1.0, l2: float = 2.0) -> ToxicModel:
-    """Counts over all labelled rows; the regression on at most ``sample_rows`` of them, by least id hash.
+    """Counts over all labelled rows; the regression on ``sample_rows`` of them, by least id hash (more only where rows repeat an id).
 
     No labelled rows: a model that scores 0. One class only: its share decides.
     """
@@ -104,14 +106,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, y = b.column(0).to_pylist(), b.column(1)
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 row, x = features(texts[lo:hi])
                 row, x = row[slot[x] >= 0], slot[x][slot[x] >= 0]
                 ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.record_batch([y[lo:hi], pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32)))], ["y", "x"])
 
-    share = min(1.0, sample_rows / (n0 + n1))
-    near = rows.filter((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * 1.2 * (1 << 20)) + 1)).orderBy(F.xxhash64("id"), "text").limit(sample_rows) if share < 1 else rows
+    # The cut is found on ids alone, so that no text is sorted or gathered in one task.
+    hashes = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(sample_rows)
+    cut = hashes.agg(F.max("h")).first()[0]
+    near = rows.filter(F.xxhash64("id") <= cut)
     got = near.select("text", "y").mapInArrow(picked, "y int, x array<int>").toArrow()
     y = got.column("y").to_numpy().astype(float)
     lists = got.column("x").combine_chunks()
@@ -157,7 +161,7 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(texts[lo:hi]))], names=[*part.schema.names, "score"])
 
