@@ -399,3 +399,35 @@ def conversation_replies(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     follows = (F.lead("turn").over(w) == F.col("turn") + 1) & (F.lead("role").over(w) != F.col("role"))
     return turns.select("conv_id", "turn", F.when(follows, F.lead("turn").over(w)).alias("answered_by"))
+
+
+# --- languages, senders, splits -------------------------------------------------------------------
+
+#: A few stop words of each language.
+STOP_WORDS = {"en": ["the", "and", "of", "that"], "fr": ["le", "la", "et", "des"], "de": ["der", "die", "und", "das"], "es": ["el", "que", "los", "para"]}
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+  s(lang, w) AS (VALUES ('en','the'),('en','and'),('en','of'),('en','that'),('fr','le'),('fr','la'),('fr','et'),('fr','des'),('de','der'),('de','die'),('de','und'),('de','das'),('es','el'),('es','que'),('es','los'),('es','para')),
+  c AS (SELECT doc_id, s.lang, count(*) AS hits FROM w JOIN s USING (w) GROUP BY 1, 2)
+  SELECT doc_id, lang AS guess, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) AS r FROM c) WHERE r = 1""")
+def stop_word_language(spark, sf_dir):
+    words = documents(spark, sf_dir).select("doc_id", T.words("text").alias("w"))
+    counts = F.array(*[F.struct(F.size(_among("w", s)).cast("long").alias("hits"), F.lit(lang).alias("guess")) for lang, s in sorted(STOP_WORDS.items())])
+    best = F.aggregate(counts, F.struct(F.lit(0).cast("long").alias("hits"), F.lit("").alias("guess")), lambda a, x: F.when(x["hits"] > a["hits"], x).otherwise(a))
+    return words.select("doc_id", best.alias("b")).filter("b.hits > 0").select("doc_id", "b.guess", "b.hits")
+
+
+def _among(column: str, listed: list[str]) -> Column:
+    return F.filter(column, lambda x: x.isin(*listed))
+
+
+@query("""SELECT source, max(doc_id) AS last_id, count(*) AS messages, count(DISTINCT md5(text)) AS distinct_texts FROM documents GROUP BY source HAVING count(*) > 1""")
+def known_senders(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy("source").agg(F.max("doc_id").alias("last_id"), F.count("*").alias("messages"), F.count_distinct(F.md5(F.col("text").cast("binary"))).alias("distinct_texts")).filter("messages > 1")
+
+
+@query("""SELECT doc_id, CASE WHEN ('0x' || substr(md5('split:' || doc_id), 1, 15))::BIGINT % 10 < 8 THEN 'train' ELSE 'test' END AS part FROM documents""")
+def train_test_split(spark, sf_dir):
+    fold = T.hash60(F.concat(F.lit("split:"), F.col("doc_id").cast("string"))) % 10
+    return documents(spark, sf_dir).select("doc_id", F.when(fold < 8, "train").otherwise("test").alias("part"))
