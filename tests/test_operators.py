@@ -66,7 +66,8 @@ def test_fold_of_nothing(spark):
 def test_streams_agree_with_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     stream = spark.readStream.schema(events.schema).parquet("/root/testdata/sf0.001/events.parquet*")
-    q = buckets.limited(stream, "user_id", "ts", "event_id", 5, 0.0001).writeStream.format("memory").queryName("lim").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = buckets.limited(stream, "user_id", "ts", "event_id", 5, 0.0001).writeStream.format("memory").queryName("lim").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
     batch = state.fold(events, "user_id", "ts", "value", "event_id", state.token_bucket(5, 0.0001), "level double, limited boolean")
     assert {(r.event_id, r.limited) for r in spark.table("lim").collect()} == {(r.event_id, r.limited) for r in batch.collect()}
