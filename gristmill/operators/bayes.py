@@ -67,3 +67,71 @@ def evaluate(predicted: Column, actual: Column) -> list[Column]:
         F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"), F.try_divide(tp, tp + fp).alias("precision"),
         F.try_divide(tp, tp + fn).alias("recall"), F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"),
     ]
+
+
+def learn_classes(token_rows: DataFrame, labels: DataFrame, classes: list[int], id_col: str = "doc_id", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+    """Counts (token, n_0, n_1 ...) and learned documents (one row: l_0, l_1 ...) of several classes."""
+    known = labels.select(id_col, F.col(label_col).alias("label")).filter(F.col("label").isin(*classes))
+    counts = token_rows.join(known, id_col).groupBy("token").agg(*[F.count_if(F.col("label") == c).alias(f"n_{k}") for k, c in enumerate(classes)])
+    return counts, known.agg(*[F.count_if(F.col("label") == c).alias(f"l_{k}") for k, c in enumerate(classes)])
+
+
+def classify_classes(token_rows: DataFrame, counts: DataFrame, learns: DataFrame, classes: list[int], id_col: str = "doc_id", strength: float = MIN_STRENGTH) -> DataFrame:
+    """(id_col, n_tokens, class, prob): the likeliest class by softmax over log sums (ties: the first).
+
+    A class takes part in a token only where its probability differs from 1 / N
+    by ``strength``; n_tokens counts tokens that tell of any class. One row a
+    token goes into the shuffle, whatever the number of classes.
+    """
+    size, ks = len(classes), range(len(classes))
+    met = token_rows.join(counts, "token").crossJoin(F.broadcast(learns))  # learns is one row by construction
+    n = sum((F.col(f"n_{k}") for k in ks), F.lit(0)).cast("double")
+    w = n / (1 + n)
+    met = met.withColumns({f"p_{k}": F.least((w / size + n * F.col(f"n_{k}") / F.greatest(F.col(f"l_{k}"), F.lit(1))) / (w + n), F.lit(1.0)) for k in ks})
+    met = met.withColumns({f"e_{k}": F.when(F.abs(F.col(f"p_{k}") - 1 / size) >= strength, F.round(F.ln(f"p_{k}") * 1e9).cast("long")) for k in ks})
+    sums = met.filter(F.coalesce(*[F.col(f"e_{k}") for k in ks]).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n_tokens"), *[(F.coalesce(F.sum(f"e_{k}"), F.lit(0)) / 1e9).alias(f"s_{k}") for k in ks])
+    scores = F.array(*[F.col(f"s_{k}") for k in ks])
+    top = F.array_max(scores)
+    total = F.aggregate(scores, F.lit(0.0), lambda a, s: a + F.exp(s - top))
+    names = F.array(*[F.lit(c) for c in classes])
+    return sums.select(id_col, "n_tokens", F.element_at(names, F.array_position(scores, top).cast("int")).alias("class"), (1 / total).alias("prob"))
+
+
+def expiry(counts: DataFrame, classes: list[str], epsilon: float = 0.01, significant: float = 0.75) -> DataFrame:
+    """``counts`` with kind: what a token is worth keeping for.
+
+    ``common``: no class dominates; else from the mean count on ``significant``
+    (one class has more than that share) or ``insignificant``; else ``infrequent``.
+    """
+    total, most = sum((F.col(c) for c in classes), F.lit(0)), F.greatest(*[F.col(c) for c in classes])
+    mean = counts.agg(F.avg(total).alias("__mean"))
+    kind = (
+        F.when((total == 0) | (most / total <= 1 - epsilon), "common")
+        .when(total < F.col("__mean"), "infrequent")
+        .when(most / total > significant, "significant")
+        .otherwise("insignificant")
+    )
+    return counts.crossJoin(F.broadcast(mean)).withColumn("kind", kind).drop("__mean")  # mean is one row
+
+
+def autolearn(score: Column, spam_from: float, ham_to: float, spam_learns: Column, ham_learns: Column, balance: float = 0.9) -> Column:
+    """What a message teaches: spam or ham beyond its threshold, unless that class is ahead by ``balance``."""
+    return (
+        F.when((score >= spam_from) & (spam_learns * balance <= ham_learns), "spam")
+        .when((score <= ham_to) & (ham_learns * balance <= spam_learns), "ham")
+        .when((score >= spam_from) | (score <= ham_to), "unbalanced")
+    )
+
+
+def balanced(labels: DataFrame, id_col: str, label_col: str, salt: str = "train") -> DataFrame:
+    """A training set with about as many rows of each label, chosen by hash: reruns agree.
+
+    The rarest label keeps all its rows and the others their share; no label's
+    rows are gathered. Rows with a null label are left out.
+    """
+    known = labels.filter(F.col(label_col).isNotNull())
+    sizes = known.groupBy(F.col(label_col).alias("__label")).agg(F.count("*").alias("__n"))
+    least = sizes.agg(F.min("__n").alias("__least"))
+    share = sizes.crossJoin(F.broadcast(least)).select("__label", F.floor(F.col("__least") * 1_000_000 / F.col("__n")).alias("__cut"))
+    draw = T.hash60(F.concat(F.lit(f"{salt}:"), F.col(id_col).cast("string"))) % 1_000_000
+    return known.join(F.broadcast(share), F.col(label_col) == F.col("__label")).filter(draw < F.col("__cut")).drop("__label", "__cut")  # one row a label

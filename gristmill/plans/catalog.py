@@ -6,40 +6,16 @@ the same result independently.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import expr, selectors
 from gristmill.functions import text as T
 from gristmill.operators import bayes, fuzzy, maps, scoring, state, stats
+from gristmill.plans.registry import ORACLE, QUERIES, documents, query, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 FLAGSHIP = "action_scores"
 
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if it has one."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents")
-
-
 # --- rules, scores and actions -------------------------------------------------------------
 
 URL, EMAIL, NOISE = r"https?://[A-Za-z0-9./?=&_-]+", r"[A-Za-z0-9._]+@[A-Za-z0-9.-]+", r"[#%&*$]{3}"
@@ -431,3 +407,6 @@ def known_senders(spark, sf_dir):
 def train_test_split(spark, sf_dir):
     fold = T.hash60(F.concat(F.lit("split:"), F.col("doc_id").cast("string"))) % 10
     return documents(spark, sf_dir).select("doc_id", F.when(fold < 8, "train").otherwise("test").alias("part"))
+
+
+from gristmill.plans import learning, sequences, texts, web  # noqa: E402, F401 (they register more queries)
