@@ -61,7 +61,7 @@ def test_hidden_and_visible(spark):
 
 
 def test_running_sums_over_slots(spark):
-    rows = [(k, float(t), i, v) for i, (k, t, v) in enumerate([("a", 0, 1), ("a", 0, 2), ("a", 90_000, 4), ("a", 400_000, None), ("a", 400_001, 8), (None, 1, 16), ("b", None, 32)])]
+    rows = [(k, None if t is None else float(t), i, v) for i, (k, t, v) in enumerate([("a", 0, 1), ("a", 0, 2), ("a", 90_000, 4), ("a", 400_000, None), ("a", 400_001, 8), (None, 1, 16), ("b", None, 32)])]
     df = spark.createDataFrame(rows, "k string, s double, i int, v int").withColumn("ts", F.timestamp_seconds("s"))
     got = {r.i: r.before for r in running.running_sums(df, ["k"], "ts", "i", {"before": F.coalesce("v", F.lit(0))}).collect()}
     assert got == {0: 0, 1: 1, 2: 3, 3: 7, 4: 7}
