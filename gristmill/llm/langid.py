@@ -147,13 +147,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     """Fit on a bounded sample: ``docs_per_language`` rows of each label, ``chars_per_doc`` code points of each.
 
     The rows are those with the smallest id hash among labelled rows with a
-    letter that are not held out; the automata of all languages get equally long
+    letter that are not held out; each gives a passage that begins anywhere in
+    its text, by another hash. The automata of all languages get equally long
     samples. No such row: None.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
+    begin = F.pmod(F.xxhash64("id", "text"), F.greatest(F.length("text") - chars_per_doc + 1, F.lit(1)).cast("long")).cast("int") + 1
     sample = (
-        docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.substring(F.col(text_col), 1, chars_per_doc).alias("text"))
+        docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
         .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("id"))
+        .withColumn("text", F.substring("text", begin, F.lit(chars_per_doc)))
         .withColumn("r", F.row_number().over(order))
         .filter(F.col("r") <= docs_per_language)
     )
