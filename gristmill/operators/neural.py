@@ -9,6 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.scoring import each
+
 
 def symbol_features(symbols: list[str]) -> dict[str, Column]:
     """One column a symbol: the sum of its scores among the row's findings."""
@@ -21,7 +23,7 @@ def symbol_features(symbols: list[str]) -> dict[str, Column]:
 
 def profile(scored: DataFrame, spam_from: float, ham_below: float, least: int = 10) -> DataFrame:
     """Per symbol: hits in spam and ham rows, and whether it is frequent and telling enough to be a feature."""
-    rows = scored.select("score", F.explode("findings").alias("f")).select("score", "f.symbol")
+    rows = each(scored.select("score", "findings")).select("score", "f.symbol")
     counts = rows.groupBy("symbol").agg(F.count_if(F.col("score") >= spam_from).alias("spam"), F.count_if(F.col("score") < ham_below).alias("ham"))
     return counts.withColumn("kept", (F.col("spam") + F.col("ham") >= least) & (F.col("spam") != F.col("ham")))
 

@@ -60,6 +60,16 @@ def findings(docs: DataFrame, rules: list[SymbolRule]) -> DataFrame:
     return docs.withColumn("findings", F.transform(kept, lambda f: F.struct(f["symbol"].alias("symbol"), f["grp"].alias("grp"), f["hits"].alias("hits"), (f["hits"] * f["weight"]).alias("score"))))
 
 
+def each(df: DataFrame) -> DataFrame:
+    """One row for each finding, as struct ``f`` in place of findings.
+
+    The outer form with a filter behind it: an inner explode makes Spark test
+    the array's size below it, which evaluates all rules a second time.
+    """
+    rest = [c for c in df.columns if c != "findings"]
+    return df.select(*rest, F.explode_outer("findings").alias("f")).filter("f is not null")
+
+
 def with_composites(df: DataFrame, composites: list[Composite]) -> DataFrame:
     """Findings after composites: added where true; their parts are removed or lose their score.
 

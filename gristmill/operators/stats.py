@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.scoring import each
+
 
 def symbol_stats(scored: DataFrame, reject: float, junk: float) -> DataFrame:
     """Per symbol: hits, hits in spam, junk and ham, mean score, and verdicts that hang on it."""
-    rows = scored.select("score", F.explode("findings").alias("f")).select("score", "f.symbol", F.col("f.score").alias("weight"))
+    rows = each(scored.select("score", "findings")).select("score", "f.symbol", F.col("f.score").alias("weight"))
     spam, junked = F.col("score") >= reject, (F.col("score") >= junk) & (F.col("score") < reject)
     without = F.col("score") - F.col("weight")
     changes = ((F.col("weight") > 0) & spam & (without < reject)) | ((F.col("weight") < 0) & ~spam & (without >= reject))

@@ -82,7 +82,7 @@ def action_scores(spark, sf_dir):
 @query(f"WITH {_HITS_SQL} SELECT doc_id, symbol, hits::INT AS hits, score FROM f")
 def rule_findings(spark, sf_dir):
     rows = scoring.findings(documents(spark, sf_dir).select("doc_id", "text"), _rules())
-    return rows.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.symbol", "f.hits", "f.score")
+    return scoring.each(rows.select("doc_id", "findings")).select("doc_id", "f.symbol", "f.hits", "f.score")
 
 
 @query(f"""{_SCORE_SQL} SELECT a.doc_id, round(a.score + coalesce(p.s * (p.f * 1.25 - 1) * CASE WHEN p.f > 1 THEN 1 ELSE 0 END, 0), 6) AS score
@@ -127,7 +127,7 @@ p AS (SELECT f.doc_id, symbol, CASE WHEN junky AND symbol IN ('NOISE','SHORT','L
 SELECT * FROM p UNION ALL SELECT doc_id, 'LEAKY', 3.0 FROM c WHERE leaky UNION ALL SELECT doc_id, 'JUNKY', 1.0 FROM c WHERE junky UNION ALL SELECT doc_id, 'SHOUTED_LINK', 0.5 FROM c WHERE shout""")
 def composite_findings(spark, sf_dir):
     rows = scoring.with_composites(scoring.findings(documents(spark, sf_dir).select("doc_id", "text"), _rules()), COMPOSITES)
-    return rows.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.symbol", "f.score")
+    return scoring.each(rows.select("doc_id", "findings")).select("doc_id", "f.symbol", "f.score")
 
 
 @query(r"""WITH d AS (SELECT doc_id, length(text)::DOUBLE AS n, len(regexp_extract_all(text, '[A-Za-z0-9]+'))::DOUBLE AS w,

@@ -82,7 +82,7 @@ def settings_findings(spark, sf_dir):
         lookups.Setting("trusted", 5, F.col("source") == "src3", disabled=("HAS_URL", "HAS_EMAIL")),
     ]
     rows = lookups.apply_settings(scoring.findings(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), catalog._rules()), settings)
-    return rows.select("doc_id", "setting", F.explode("findings").alias("f")).select("doc_id", "setting", "f.symbol", "f.score")
+    return scoring.each(rows.select("doc_id", "setting", "findings")).select("doc_id", "setting", "f.symbol", "f.score")
 
 
 @query(f"""{catalog._SCORE_SQL} SELECT 'actions_total{{action="' || action || '"}} ' || count(*) AS value FROM a GROUP BY action""")
