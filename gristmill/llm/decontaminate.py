@@ -2,7 +2,8 @@
 
 Tokens are lower-cased and stripped of outer punctuation; numbers, units and
 names become typed placeholders, those of one type in a row a single one, so a
-question that was only re-parameterised keeps its template.
+question that was only re-parameterised keeps its template. A capitalised first
+word of a sentence may be a name or not: benchmark texts are read both ways.
 Every window of ``width`` template tokens is hashed, and document windows are
 hash-joined with benchmark windows. Windows of one item on neighbouring diagonals
 of a document form an alignment, so that words put in or left out do not split
@@ -209,6 +210,14 @@ class _Item:
         return done
 
 
+def _known_names(value: np.ndarray, text: np.ndarray, capital: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """First words of sentences that are capitalised within a sentence of the same text too."""
+    key = mix(value[capital] + text[capital].astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    known = np.zeros(len(value), dtype=bool)
+    known[capital] = np.isin(key, key[~starts[capital]])
+    return known & starts
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 8, cover: float = 0.5, consistent: float = 0.8, shift: int = 16, run: int = 13) -> DataFrame:
     """One row per distinct id with a copied item: id_col, items (sorted array), cover (the largest).
 
@@ -228,8 +237,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for lo, hi in slices(texts):
                 value, kind, capital, starts, count = canon.words(texts[lo:hi])
                 text = np.repeat(np.arange(hi - lo), count)
-                maybe = np.zeros(len(kind), dtype=bool)
-                named = np.where(capital & ~starts, _NAME, kind)
+                maybe = capital & starts & ~_known_names(value, text, capital, starts)
+                named = np.where(capital, _NAME, kind)
                 rows = []
                 for k, (a, z) in enumerate(zip(np.cumsum(count) - count, np.cumsum(count), strict=True)):
                     if z - a < width:
@@ -268,7 +277,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 value, kind, capital, starts, count = canon.words(texts[lo:hi])
                 text = np.repeat(np.arange(hi - lo), count)
                 begin = np.cumsum(count) - count
-                for named, literal in ((capital & ~starts, None),):
+                # Every capitalised word as a name, and first words that are no known names as literals.
+                maybe = capital & starts & ~_known_names(value, text, capital, starts)
+                for named, literal in ((capital, None), (capital & ~maybe, maybe)):
                     for form in forms:
                         read = np.where(named, _NAME, kind)
                         read, at = (read, np.arange(len(read))) if form else _merged(read, text)

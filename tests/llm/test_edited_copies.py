@@ -41,3 +41,20 @@ def test_slots_of_several_words(found):
 def test_short_item_with_long_names_is_kept(found):
     item = "what did Mary Ann Smith Jones buy there yesterday"
     assert found(item, f"so then {item} she asked", item.replace("Mary Ann Smith Jones", "Eve")) == {0}
+
+
+def test_names_that_begin_sentences(found):
+    item = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+    assert found(item, item.replace("Tom", "Anna"), f"Quiz\n{item}", item.lower()) >= {0, 1}
+    assert found("Tom has five red apples in his big old basket.", "Anna has five red apples in his big old basket.") == {0}
+
+
+def test_copy_does_not_depend_on_what_precedes(found):
+    item = "What is the capital city of France today?"
+    assert found(item, f"Question 7\n{item}", item, f"by Anna Smith\n{item}", f"Well. {item} Paris") == {0, 1, 2, 3}
+    assert found("A man walks 60 miles from here to the old town", "version 3\nA man walks 60 miles from here to the old town") == {0}
+
+
+def test_joined_sentences_stay_a_copy(found):
+    item = "she picked seven ripe pears yesterday, how many pears remain after lunch today"
+    assert found(item, item.replace(", how", ". How")) == {0}
