@@ -4,9 +4,11 @@ For every language a suffix automaton is built over a bounded sample of
 labelled text. A document is parsed greedily into phrases, each the longest
 string from there on that occurs in the sample; a new phrase begins where the
 automaton has no transition. Text needs few, long phrases under its own
-language. The phrase count times the bits of a pointer into the sample,
-divided by the document's length, is its cross entropy, and the language with
-the least wins (ties: the first by name).
+language. The phrase count times the bits of a pointer into the sample or the
+alphabet, divided by the document's length, is its cross entropy, and the
+language with the least wins (ties: the first by name). Samples may differ in
+length: pointers into a short one are cheap, but never below a single symbol's
+bits, and lead to short phrases.
 
 The parse restarts every ``SEGMENT`` code points, for all languages alike, so
 that whole texts of any length become equal rows which numpy walks in step.
@@ -112,8 +114,7 @@ class LanguageModel:
             if len(low) == 1 and low != chr(point):
                 self.code[point] = self.code[min(ord(low), 0xFFFF)]
         coded = [self.encode([samples[x]])[0] for x in self.langs]
-        shortest = min(map(len, coded), default=0)
-        self.automata = [SuffixAutomaton(c[:shortest]) for c in coded]
+        self.automata = [SuffixAutomaton(c) for c in coded]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, text after text, and how many each text has."""
@@ -139,7 +140,7 @@ class LanguageModel:
         rows = np.ascontiguousarray(flat.reshape(-1, SEGMENT).T)
         out = np.empty((len(texts), len(self.langs)))
         for k, a in enumerate(self.automata):
-            out[:, k] = np.bincount(owner, a.phrases(rows), len(texts)) * np.log2(a.length + 2) / size
+            out[:, k] = np.bincount(owner, a.phrases(rows), len(texts)) * np.log2(a.length + ALPHABET) / size
         return out
 
 
@@ -148,8 +149,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
 
     The rows are those with the smallest id hash among labelled rows with a
     letter that are not held out; each gives a passage that begins anywhere in
-    its text, by another hash. The automata of all languages get equally long
-    samples. No such row: None.
+    its text, by another hash. Every language keeps its whole sample, however short
+    another's is. No such row: None.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
     begin = F.pmod(F.xxhash64("id", "text"), F.greatest(F.length("text") - chars_per_doc + 1, F.lit(1)).cast("long")).cast("int") + 1
