@@ -32,6 +32,10 @@ SEGMENT = 256
 #: Symbols of the automata: letters outside the sample, a run of non-letters, letters, padding.
 ALPHABET = 64
 UNSEEN, BREAK, PAD = 0, 1, ALPHABET - 1
+#: Where the samples hold more letters than there are symbols, the rarer ones are spelled as so many digits.
+DIGITS, BASE = 5, 16
+SPELLED, DIGIT = -1, PAD - BASE
+POINTS = 0x110000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -103,16 +107,18 @@ class LanguageModel:
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        seen, times = np.unique(np.frombuffer("".join(samples.values()).lower().encode("utf-32-le"), np.uint32), return_counts=True)
-        kept = [p for p in seen[np.argsort(-times, kind="stable")].tolist() if chr(p).isalpha() and p < 0xFFFF]
-        self.code = np.array([UNSEEN if chr(p).isalpha() else BREAK for p in range(0x10000)], dtype=np.int32)
-        self.code[0xFFFF] = UNSEEN  # stands for everything beyond
-        for symbol, point in enumerate(kept[: PAD - BREAK - 1], BREAK + 1):
-            self.code[point] = symbol
-        for point in range(0xFFFF):
+        seen, times = np.unique(np.frombuffer("".join(samples.values()).lower().encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+        kept = [p for p in seen[np.argsort(-times, kind="stable")].tolist() if chr(p).isalpha()]
+        spell = len(kept) > PAD - BREAK - 1
+        letter = np.fromiter((chr(p).isalpha() for p in range(POINTS)), bool, POINTS)
+        self.code = np.where(letter, SPELLED if spell else UNSEEN, BREAK).astype(np.int32)
+        self.code[kept[: DIGIT - BREAK - 1 if spell else None]] = np.arange(BREAK + 1, min(BREAK + 1 + len(kept), DIGIT) if spell else BREAK + 1 + len(kept))
+        self.low = np.arange(POINTS, dtype=np.int32)
+        for point in np.flatnonzero(letter).tolist():
             low = chr(point).lower()
             if len(low) == 1 and low != chr(point):
-                self.code[point] = self.code[min(ord(low), 0xFFFF)]
+                self.low[point] = ord(low)
+        self.code = self.code[self.low]
         coded = [self.encode([samples[x]])[0] for x in self.langs]
         self.automata = [SuffixAutomaton(c) for c in coded]
 
@@ -120,14 +126,23 @@ class LanguageModel:
         """Symbols of all texts, text after text, and how many each text has."""
         size = np.array([len(t) for t in texts])
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols = self.code[np.minimum(points, 0xFFFF)]
+        symbols = self.code[points]
         apart = symbols == BREAK
         starts = (np.cumsum(size) - size)[size > 0]
         again = np.zeros(len(symbols), dtype=bool)
         again[1:] = apart[1:] & apart[:-1]
         again[starts] = False
-        owner = np.repeat(np.arange(len(texts)), size)
-        return symbols[~again], np.bincount(owner[~again], minlength=len(texts))
+        owner = np.repeat(np.arange(len(texts)), size)[~again]
+        symbols = symbols[~again]
+        spelled = symbols == SPELLED
+        if spelled.any():
+            width = np.where(spelled, DIGITS, 1)
+            point, owner = self.low[points[~again][spelled]], np.repeat(owner, width)
+            first = (np.cumsum(width) - width)[spelled]
+            symbols = np.repeat(symbols, width)
+            for d in range(DIGITS):
+                symbols[first + d] = DIGIT + (point // BASE ** (DIGITS - 1 - d)) % BASE
+        return symbols, np.bincount(owner, minlength=len(texts))
 
     def rates(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): normalised phrases, in bits a symbol; texts are not empty."""

@@ -26,3 +26,13 @@ def test_a_rare_label_ruins_no_other():
     assert _right(model, "a", ta) == 1 and _right(model, "b", tb) == 1
     model = LanguageModel({"a": a, "b": b[:1500], "rare": "x"})
     assert _right(model, "a", ta) == 1 and _right(model, "b", tb) == 1
+
+
+def test_every_letter_counts():
+    blocks = {"latin": range(0x61, 0x7B), "russian": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "han_1": range(0x4E00, 0x5200), "han_2": range(0x5200, 0x5600), "hangul": range(0xAC00, 0xB000), "beyond": range(0x20000, 0x20400)}
+    made = {k: _texts([chr(p) for p in v], 3) for k, v in blocks.items()}
+    model = LanguageModel({k: sample for k, (sample, _) in made.items()})
+    for k, (_, texts) in made.items():
+        assert _right(model, k, texts) == 1
+        if k != "greek":  # two small letters share one capital
+            assert (model.rates(texts) == model.rates([t.upper() for t in texts])).all()
