@@ -49,7 +49,7 @@ PIECE = 1_000_000
 KEYS_BROADCAST = 500_000
 #: The two columns that name a text.
 KEY = ["k1", "k2"]
-_SPANS = "array<struct<s:bigint,e:bigint>>"
+_SPANS = "array<struct<s:bigint,e:bigint,across:boolean>>"
 #: Byte codes of the second hash.
 _OTHER_CODE = mix(np.arange(1001, 1257, dtype=np.uint64))
 
@@ -168,14 +168,16 @@ def _sampled(length: int, shorter: int):
                 continue
             owner, s, e, core, around = (np.concatenate(x) for x in zip(*parts, strict=True))
             row, shift = np.array(of)[owner], np.array(base)[owner]
-            order = np.lexsort((around, core))
+            order = np.lexsort((row, around, core))
             new = np.append(True, (core[order][1:] != core[order][:-1]) | (around[order][1:] != around[order][:-1]))[: len(order)]
             first = np.flatnonzero(new)
             times = np.diff(np.append(first, len(order)))
-            sent, count = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=np.int64)
+            sent, count, held = np.zeros(len(order), dtype=bool), np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
             sent[order] = new
             count[order] = np.repeat(times, times)
-            yield pa.record_batch([pa.array(core.view(np.int64)), pa.array(around.view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(s + shift), pa.array(e + shift), pa.array(count), pa.array(sent)], ["core", "around", *KEY, "s", "e", "count", "sent"])
+            other = np.append(True, row[order][1:] != row[order][:-1])[: len(order)] | new
+            held[order] = np.repeat(np.add.reduceat(other.astype(np.int64), first), times)
+            yield pa.record_batch([pa.array(core.view(np.int64)), pa.array(around.view(np.int64)), pa.array(k1[row]), pa.array(k2[row]), pa.array(s + shift), pa.array(e + shift), pa.array(count), pa.array(held), pa.array(sent)], ["core", "around", *KEY, "s", "e", "count", "texts", "sent"])
 
     return run
 
@@ -213,7 +215,7 @@ def _cut(words: int, shorter: int):
                     kept.update(raw[at:s])
                     at = e
                 kept.update(raw[at:])
-                out.append((k1, k2, sum(e - s for s, e in runs), len(runs), kept.hexdigest(), any(passage(raw, s, e) for s, e in merged(near, shorter - 1))))
+                out.append((k1, k2, sum(e - s for s, e in runs), len(runs), kept.hexdigest(), any(passage(raw, s, e) for s, e in merged([x for x in near if x["across"]], shorter - 1))))
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], [*KEY, "n_removed", "n_spans", "kept_sha256", "passage"])
 
@@ -227,35 +229,37 @@ def _in(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, length: int, within: DataFrame | None = None, shorter: int = 0) -> DataFrame:
-    """(k1, k2, spans) of the texts in which a string of ``length`` bytes starts that also starts elsewhere.
+    """(k1, k2, spans) of the texts in which a string of ``length`` bytes starts that also starts elsewhere; across: in another text.
 
     ``texts`` has k1, k2 and text, each text once. ``within`` is the result for
     the ``shorter`` length, where that is at hand.
     """
     rows = texts.withColumn("spans", F.lit(None).cast(_SPANS)) if within is None else _in(texts, within.select(*KEY), "left_semi").join(within, KEY)
     by_core, by_both = Window.partitionBy("core"), Window.partitionBy("core", "around")
-    sampled = settle(rows.select(*KEY, "text", "spans").mapInArrow(_sampled(length, shorter), "core long, around long, k1 long, k2 long, s long, e long, count long, sent boolean"))
+    sampled = settle(rows.select(*KEY, "text", "spans").mapInArrow(_sampled(length, shorter), "core long, around long, k1 long, k2 long, s long, e long, count long, texts long, sent boolean"))
     met = (
         sampled.filter("sent")
         .withColumns({"n": F.sum("count").over(by_core), "low": F.min("around").over(by_core), "high": F.max("around").over(by_core)})
         .filter("n > 1")
-        .withColumns({"same": F.sum("count").over(by_both), "nth": F.row_number().over(by_both.orderBy(*KEY, "s"))})
-        .withColumn("least", F.min("same").over(by_core))
-        .select(*KEY, "s", "e", "count", (F.col("same") == 1).alias("lone"), ((F.col("low") != F.col("high")) & (F.col("least") == 1) & (F.col("nth") == 1)).alias("open"))
+        .withColumns({"same": F.sum("count").over(by_both), "texts": F.sum("texts").over(by_both), "nth": F.row_number().over(by_both.orderBy(*KEY, "s"))})
+        .withColumn("least", F.min("texts").over(by_core))
+        .select(*KEY, "s", "e", "count", "same", "texts", (F.col("texts") == 1).alias("lone"), ((F.col("low") != F.col("high")) & (F.col("least") == 1) & (F.col("nth") == 1)).alias("open"))
     )
     met = settle(met)
-    whole = met.filter("not lone and count = 1").unionByName(sampled.filter("count > 1"), allowMissingColumns=True).select(*KEY, "s", (F.col("e") + length).alias("e"))
+    span = (*KEY, "s", (F.col("e") + length).alias("e"), (F.col("texts") > 1).alias("across"))
+    whole = met.filter("same > 1").select(*span).unionByName(sampled.filter("count > 1 and not sent").select(*span))
+    same = Window.partitionBy("h", "g")
     todo = settle(met.filter("open").groupBy(*KEY).agg(F.collect_list(F.struct("s", "e", "lone")).alias("spans")))
     found = (
         _in(texts, todo.select(*KEY), "left_semi")
         .join(todo, KEY)
         .select(*KEY, "text", "spans")
         .mapInArrow(_windowed(length), "h long, g long, k1 long, k2 long, at long, lone boolean")
-        .withColumn("n", F.count("*").over(Window.partitionBy("h", "g")))
+        .withColumns({"n": F.count("*").over(same), "across": F.min(F.struct(*KEY)).over(same) != F.max(F.struct(*KEY)).over(same)})
         .filter("n > 1 and lone")
-        .select(*KEY, F.col("at").alias("s"), (F.col("at") + length).alias("e"))
+        .select(*KEY, F.col("at").alias("s"), (F.col("at") + length).alias("e"), "across")
     )
-    return settle(whole.unionByName(found).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    return settle(whole.unionByName(found).groupBy(*KEY).agg(F.collect_list(F.struct("s", "e", "across")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, passage_length: int = 250, passage_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,8 +268,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, passage_length: int = 250
     A byte is removed if a string of ``length`` UTF-8 bytes that covers it also
     starts at any other place of the input, in the same text or another.
     repeats_passage tells whether a stretch in which every ``passage_length``
-    bytes (fifty words of five bytes) repeat has over ``passage_words`` whole
-    words; such passages are often shorter than ``length`` and then stay. Null texts are empty; shorter texts keep all; rows
+    bytes (fifty words of five bytes) start in another text too has over
+    ``passage_words`` whole words; such passages are often shorter than ``length`` and then stay. Null texts are empty; shorter texts keep all; rows
     that repeat an id, or a whole text, are texts of their own, so both lose all
     their bytes if long enough. Texts of any length are read whole, in pieces of
     a million bytes. Other columns are ignored, whatever their names; an empty
