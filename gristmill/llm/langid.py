@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
 For every language a suffix automaton is built over a bounded sample of
-labelled text. A document is parsed greedily into phrases, each the longest
+labelled texts, each of them whole. A document is parsed greedily into phrases, each the longest
 string from there on that occurs in the sample; a new phrase begins where the
 automaton has no transition. Text needs few, long phrases under its own
 language. The phrase count times the bits of a pointer into the sample or the
@@ -10,25 +10,27 @@ language with the least wins (ties: the first by name). Samples may differ in
 length: pointers into a short one are cheap, but never below a single symbol's
 bits, and lead to short phrases.
 
-The parse restarts every ``SEGMENT`` code points, for all languages alike, so
-that whole texts of any length become equal rows which numpy walks in step.
+So that numpy can walk texts of any length in step, they are laid out in rows of
+``SEGMENT`` symbols. A row is first walked from the start state, and again from
+the state in which the row before it ended, until no row's entry changes: the
+phrases are those of one parse of the whole text.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import held_out
 from gristmill.llm.wordhash import slices
 
-#: Code points that are parsed in one go.
-SEGMENT = 256
+#: Symbols of one row, and how often rows are walked together before the rest is walked one by one.
+SEGMENT, ROUNDS = 256, 4
 #: Symbols of the automata: letters outside the sample, a run of non-letters, letters, padding.
 ALPHABET = 64
 UNSEEN, BREAK, PAD = 0, 1, ALPHABET - 1
@@ -37,15 +39,16 @@ DIGITS, BASE = 5, 16
 SPELLED, DIGIT = -1, PAD - BASE
 POINTS = 0x110000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class SuffixAutomaton:
     """Smallest automaton of all substrings of a sequence of symbols, as one dense table.
 
     ``step[state * ALPHABET + symbol]`` is the next state; where the sample has no
-    such continuation it is ``~next``, next being the state of a phrase that
-    begins with the symbol.
+    such continuation, and from the start state, it is ``~next``: a phrase begins
+    with the symbol and leads to state next, the start state again if the sample
+    lacks the symbol.
     """
 
     def __init__(self, symbols: np.ndarray):
@@ -82,19 +85,48 @@ class SuffixAutomaton:
         step = np.tile(~start, (len(edges), 1))
         for state, out in enumerate(edges):
             for c, to in out.items():
-                step[state, c] = to
+                step[state, c] = to if state else ~to
         step[:, PAD] = np.arange(len(edges))
         self.step = step.ravel()
 
-    def phrases(self, rows: np.ndarray) -> np.ndarray:
-        """Phrases that each row needs; ``rows`` is (SEGMENT, n) of symbols, padded."""
-        state = np.zeros(rows.shape[1], dtype=np.int32)
-        count = np.ones(rows.shape[1], dtype=np.int32)
+    def _walk(self, rows: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state at the end, phrases begun within) of each row, from its entry state."""
+        state, count = entry.copy(), np.zeros(rows.shape[1], dtype=np.int32)
         for symbols in rows:
             to = self.step[state * ALPHABET + symbols]
             broke = to >> 31
             count -= broke
             state = to ^ broke
+        return state, count
+
+    def phrases(self, rows: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases begun within each row; ``rows`` is (SEGMENT, n) of symbols, padded.
+
+        ``follows`` is true where a row continues the one before it.
+        """
+        n = rows.shape[1]
+        walked, count = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        leave, todo = np.zeros(n, dtype=np.int32), np.arange(n)
+        for _ in range(ROUNDS):
+            leave[todo], count[todo] = self._walk(rows if len(todo) == n else rows[:, todo], walked[todo])
+            entry = np.where(follows, np.roll(leave, 1), 0)
+            todo = np.flatnonzero(entry != walked)
+            if not len(todo):
+                return count
+            walked[todo] = entry[todo]
+        # Texts whose parse never falls into step with itself, such as one letter over and over.
+        step, fresh = memoryview(self.step), np.ones(n, dtype=bool)
+        fresh[todo] = False
+        for j in todo.tolist():
+            while j < n and follows[j] and (not fresh[j] or walked[j] != leave[j - 1]):
+                state, breaks = int(leave[j - 1]), 0
+                walked[j], fresh[j] = state, True
+                for c in rows[:, j].tolist():
+                    state = step[state * ALPHABET + c]
+                    if state < 0:
+                        state, breaks = ~state, breaks + 1
+                leave[j], count[j] = state, breaks
+                j += 1
         return count
 
 
@@ -154,30 +186,38 @@ class LanguageModel:
         flat[np.arange(len(symbols)) + np.repeat(shift, size)] = symbols
         rows = np.ascontiguousarray(flat.reshape(-1, SEGMENT).T)
         out = np.empty((len(texts), len(self.langs)))
+        follows = np.append(False, owner[1:] == owner[:-1])
         for k, a in enumerate(self.automata):
-            out[:, k] = np.bincount(owner, a.phrases(rows), len(texts)) * np.log2(a.length + ALPHABET) / size
+            out[:, k] = np.bincount(owner, a.phrases(rows, follows), len(texts)) * np.log2(a.length + ALPHABET) / size
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_per_language: int = 60, chars_per_doc: int = 400) -> LanguageModel | None:
-    """Fit on a bounded sample: ``docs_per_language`` rows of each label, ``chars_per_doc`` code points of each.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", docs_per_language: int = 60, chars_per_language: int = 40_000) -> LanguageModel | None:
+    """Fit on a bounded sample of whole texts: at most ``docs_per_language`` rows of each label, of ``chars_per_language`` code points together.
 
     The rows are those with the smallest id hash among labelled rows with a
-    letter that are not held out; each gives a passage that begins anywhere in
-    its text, by another hash. Every language keeps its whole sample, however short
-    another's is. No such row: None.
+    letter that are not held out, texts above the bound last. A language whose
+    texts are all above the bound learns from its shortest one. Every language
+    keeps its whole sample, however short another's is. No such row: None.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    begin = F.pmod(F.xxhash64("id", "text"), F.greatest(F.length("text") - chars_per_doc + 1, F.lit(1)).cast("long")).cast("int") + 1
+    rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & ~held_out("id"))
+    rows = rows.withColumn("h", F.xxhash64("id"))
+    # Rows that come into question at all: some twenty times the sample of a large language, by hash alone.
+    share = F.least(F.lit(1.0), F.lit(20.0 * docs_per_language) / F.col("n"))
+    known = rows.filter(F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).select("lang", F.greatest(F.col("least").cast("double"), (share * 2 - 1) * 2.0**63).alias("cut"))
+    long = F.length("text") > chars_per_language
+    order = Window.partitionBy("lang").orderBy("long", "size", "h", "id", "text")
     sample = (
-        docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text"))
-        .filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out("id"))
-        .withColumn("text", F.substring("text", begin, F.lit(chars_per_doc)))
+        rows.join(F.broadcast(known), "lang")  # one row a language
+        .filter((F.col("h").cast("double") <= F.col("cut")) & F.col("text").rlike(r"\p{L}"))
+        .withColumns({"long": long, "size": F.when(long, F.length("text")).otherwise(0)})
         .withColumn("r", F.row_number().over(order))
         .filter(F.col("r") <= docs_per_language)
+        .withColumn("upto", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        .filter((F.col("upto") <= chars_per_language) | (F.col("r") == 1))
     )
     texts: dict[str, list[str]] = {}
-    for row in sample.orderBy("lang", "r").collect():
+    for row in sample.orderBy("lang", "r").select("lang", "text").collect():
         texts.setdefault(row["lang"], []).append(row["text"])
     return LanguageModel({k: "\n".join(v) for k, v in texts.items()}) if texts else None
 
@@ -188,8 +228,9 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     A text that is null or has no letter, and any text where no language was
     learned, is ``und`` with score 0 and null bits. Otherwise score is the share
     of the winner's inverse rate in the sum of all inverse rates (0 to 1).
-    Columns of ``docs`` with these three names are replaced. Repeated rows, ties
-    and other columns do not matter; an empty table gives an empty result.
+    Columns of ``docs`` with these three names are replaced. Ties go to the first
+    name; repeated rows and other columns do not matter; texts of any length are
+    parsed whole; an empty table gives an empty result.
     """
     docs = docs.drop("lang_pred", "score", "bits_per_char")
     shared = docs.sparkSession.sparkContext.broadcast(model)
