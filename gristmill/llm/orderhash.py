@@ -12,14 +12,17 @@ are filled in either text.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.wordhash import mix
+from gristmill.llm.common import settle
+from gristmill.llm.wordhash import mix, slices
 
 _U = np.uint64
 K, BINS, TUPLE = 8, 64, 2
@@ -28,8 +31,12 @@ _BIN_BITS = BINS.bit_length() - 1
 _KEPT = 12.0
 #: Characters of text that are hashed at once.
 SLICE = 1_000_000
-#: Rows that a run of neighbouring ids holds at least, and how many runs there are at most.
+#: Rows that a run of neighbouring ids holds on average, and how many runs there are at most.
 RUN_ROWS, RUNS = 1000, 1_000_000
+#: Quantiles of the ids between which runs are equal stretches.
+QUANTILES = 1000
+#: An id with so many times RUN_ROWS rows is cut by the hash of the text; bits for its number.
+HOT, HOT_BITS = 4, 20
 
 
 def _elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,8 +131,6 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from gristmill.llm.wordhash import slices
-
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
             for lo, hi in slices(texts, SLICE):
@@ -136,26 +141,55 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, fingerprint string")
 
 
+def _with_stretch(rows: DataFrame) -> DataFrame:
+    """``rows`` and stretch, a number that never falls as the id grows; -1 for null.
+
+    Quantiles of the ids bound the ranges, so that outlying ids do not matter, and
+    each range is cut into equal stretches. All in doubles, which cannot overflow
+    and keep the order. An id that fills a whole range has one of its own.
+    """
+    n = rows.count()
+    ranges = max(1, min(QUANTILES, n // RUN_ROWS))
+    per_range = max(1, min(RUNS, n // RUN_ROWS) // ranges)
+    found = rows.select("id").approxQuantile("id", [k / ranges for k in range(ranges + 1)], 0.25 / ranges) if n else []
+    bounds = sorted({*found, *(math.nextafter(b, math.inf) for b in found if found.count(b) > 1)}) or [0.0]
+    at = F.col("id").cast("double")
+    inside = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__at", outputCol="__range", handleInvalid="keep").transform(rows.withColumn("__at", at))
+    place = F.col("__range").cast("int")
+    start = F.coalesce(F.get(F.lit(bounds), place - 1), F.lit(bounds[0]))
+    end = F.coalesce(F.get(F.lit(bounds), place), F.lit(bounds[-1]))
+    share = F.when(end > start, (at - start) / (end - start)).otherwise(0.0)
+    inner = F.greatest(F.lit(0), F.least(F.floor(share * per_range), F.lit(per_range - 1)))
+    return inside.withColumn("stretch", F.when(F.col("id").isNull(), -1).otherwise(place * F.lit(per_range).cast("long") + inner).cast("long")).drop("__at", "__range")
+
+
 def in_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(run, tail, id, text): runs of neighbouring ids, sorted, each closed by the next run's first row.
 
-    Runs are equal stretches of the id range. The closing row has tail = 1; the
-    last run is closed by the very first row. Null ids come first, equal ids are
-    ordered by text. Only the text is shuffled, once; the runs' first ids, at
-    most ``RUNS`` rows of 24 bytes by construction, are broadcast.
+    The closing row has tail = 1; the last run is closed by the very first row.
+    Null ids come first; equal ids are ordered by text, and where there are many,
+    first by its hash, which then cuts their run too. Only the text is shuffled,
+    once; the runs' first ids, at most some ``RUNS`` rows by construction, are
+    broadcast.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lo, hi, n = rows.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    stretch = max(1.0, float(max(0, (hi or 0) - (lo or 0)) + 1) / min(RUNS, max(1, n // RUN_ROWS)))
-    run = F.when(F.col("id").isNull(), -1).otherwise(F.floor((F.col("id") - F.lit(lo or 0)) / F.lit(stretch))).cast("long")
-    rows = rows.withColumn("run", run)
-    firsts = rows.groupBy("run").agg(F.min("id").alias("id"))
+    rows = _with_stretch(rows)
+    held = rows.groupBy("stretch").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
+    hot = settle(held.filter((F.col("n") >= HOT * RUN_ROWS) & F.col("low").eqNullSafe(F.col("high"))).select("stretch", F.least(F.ceil(F.col("n") / RUN_ROWS), F.lit(1 << HOT_BITS)).alias("parts")))
+    if hot.isEmpty():
+        rows = rows.select(F.shiftleft(F.col("stretch") + 1, HOT_BITS).alias("run"), F.lit(0).cast("long").alias("part"), "id", "text")
+    else:
+        order = F.when(F.col("parts").isNotNull(), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))).otherwise(0)
+        rows = rows.join(F.broadcast(hot), "stretch", "left").withColumn("part", order)
+        rows = rows.select((F.shiftleft(F.col("stretch") + 1, HOT_BITS) + F.floor(F.col("part") / 2.0**62 * F.coalesce("parts", F.lit(1)))).alias("run"), "part", "id", "text")
+    firsts = rows.groupBy("run").agg(F.min(F.struct("id", "part")).alias("first")) if not hot.isEmpty() else rows.groupBy("run").agg(F.struct(F.min("id").alias("id"), F.lit(0).cast("long").alias("part")).alias("first"))
     order = Window.orderBy("run")
-    before = firsts.withColumn("receiver", F.coalesce(F.lag("run").over(order), F.max("run").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    same = F.col("h.id").eqNullSafe(F.col("r.id")) & (F.col("h.run") == F.col("r.run"))
+    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = firsts.select("run", "first.id", "first.part", F.coalesce(F.lag("run").over(order), F.max("run").over(everything)).alias("receiver"))
+    same = F.col("h.id").eqNullSafe(F.col("r.id")) & (F.col("h.run") == F.col("r.run")) & (F.col("h.part") == F.col("r.part"))
     heads = rows.alias("r").join(F.broadcast(before).alias("h"), same).groupBy(F.col("h.receiver").alias("run"), F.col("h.id").alias("id")).agg(F.min("r.text").alias("text"))
-    both = rows.select("run", F.lit(0).alias("tail"), "id", "text").unionByName(heads.select("run", F.lit(1).alias("tail"), "id", "text"))
-    return both.repartition("run").sortWithinPartitions("run", "tail", F.col("id").asc_nulls_first(), "text")
+    both = rows.select("run", F.lit(0).alias("tail"), "part", "id", "text").unionByName(heads.select("run", F.lit(1).alias("tail"), F.lit(0).cast("long").alias("part"), "id", "text"))
+    return both.repartition("run").sortWithinPartitions("run", "tail", F.col("id").asc_nulls_first(), "part", "text").select("run", "tail", "id", "text")
 
 
 def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +199,9 @@ def edited_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the next document by id (after the last comes the first). Columns: id_col,
     n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. Null texts are empty; rows that repeat an id are documents of
-    their own; other columns are ignored; an empty table gives an empty result.
+    their own; null ids come first; ids may be any 64-bit numbers; texts of any
+    length are taken whole; other columns are ignored; an empty table gives an
+    empty result.
     """
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
