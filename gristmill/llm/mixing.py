@@ -88,14 +88,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     epochs in which the document is within the cut, ``taken = 0`` if none.
     Documents with equal finish time are taken together or not at all. Columns
     with the added names are replaced; rows that repeat an id are documents of
-    their own; a null id shuffles as the text "null"; an empty table gives an
-    empty result. Reruns agree: the shuffle key is a hash of the id and ``seed``.
+    their own, in order of size and text; a null id shuffles as the text "null";
+    texts of any length count in full; an empty table gives an empty result.
+    Reruns agree: the shuffle key is a hash of the id and ``seed``.
     """
     added = ("size", "source_size", "target", "taken")
-    base = docs.drop(*added, "__src", "__key", "__cum")
+    base = docs.drop(*added, "__src", "__key", "__bucket", "__before", "__tie", "__cum")
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    base = base.withColumns({"size": word_count(text_col) if size is None else size, "__src": F.coalesce(F.concat(F.lit("="), source_col), F.lit("")), "__key": key}).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
-    sizes = settle(base.select(F.col("__src"), F.col("__key"), F.col("__bucket"), F.col(id_col).alias("__id"), "size"))
+    base = base.withColumns({"size": word_count(text_col) if size is None else size, "__src": F.coalesce(F.concat(F.lit("="), source_col), F.lit("")), "__key": key, "__tie": F.xxhash64(text_col) if text_col in docs.columns else F.lit(0).cast("long")}).withColumn("__bucket", F.substring("__key", 1, BUCKET_DIGITS))
+    sizes = settle(base.select(F.col("__src"), F.col("__key"), F.col("__bucket"), F.col(id_col).alias("__id"), "__tie", "size"))
     buckets = sizes.groupBy("__src", "__bucket").agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("__before", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum")
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     plan = settle(buckets.join(targets, F.col("__src") == F.col("src")).drop("src"))
 
     def with_finish(rows: DataFrame, id_name: str) -> DataFrame:
-        within = Window.partitionBy("__src", "__bucket").orderBy("__key", id_name, "size").rowsBetween(Window.unboundedPreceding, 0)
+        within = Window.partitionBy("__src", "__bucket").orderBy("__key", id_name, "size", "__tie").rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn("__cum", F.sum("size").over(within)).join(plan, ["__src", "__bucket"]).withColumn("__cum", F.col("__cum") + F.col("__before"))
 
     epochs = F.sequence(F.lit(0), F.lit(max_epochs - 1))
