@@ -15,10 +15,12 @@ HELD_OUT_REMAINDER = 2
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``.
 
-    Only where it is unset (tests, local use) a temporary folder takes its place.
+    Only on a local master, where all are one process, a temporary folder may take its place.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

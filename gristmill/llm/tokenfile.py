@@ -12,6 +12,7 @@ The bases of the parts are prefix sums over the manifest, one row a part.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
@@ -43,13 +44,27 @@ def _class(start: str) -> str:
 _SPACES = r"\t-\r \x85\xa0"
 #: The vocabulary's own pre-tokenisation for lower-case text below U+0180, where it is plain.
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACES}{_class('L')}{_class('N')}]+")
+#: What a tokenizer file must say for its pieces to be those; any other one encodes texts whole.
+_PRE_TOKENIZER = [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True), ("ByteLevel", None, None, None)]
+_NORMALIZER = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
 _NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]|<\\|")
 _WHITE = re.compile(r"[\t-\r ]+")
 
 
+def _in_pieces(tokenizer) -> bool:
+    """Whether the tokenizer normalises and cuts texts in the way that PieceEncoder follows."""
+    said = json.loads(tokenizer.to_str())
+    cuts = [(p["type"], (p.get("pattern") or {}).get("Regex"), p.get("behavior"), p.get("invert")) for p in (said.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    folds = [(n["type"], (n.get("pattern") or {}).get("Regex")) for n in (said.get("normalizer") or {}).get("normalizers", [])]
+    return cuts == _PRE_TOKENIZER and folds == _NORMALIZER
+
+
 class PieceEncoder:
     """Encodes whole texts through a memory of pieces that the tokenizer treats independently.
 
+    This holds for vocabularies that cut texts by ``_PRE_TOKENIZER``; with any
+    other one, whole texts go to the tokenizer.
+
     Text below U+0180 is lower-cased and cut as the vocabulary's pre-tokeniser
     cuts it. Any other text, and any with a mark that may begin a special
     token, is cut at ASCII white space only, which the vocabulary drops.
@@ -65,6 +80,7 @@ class PieceEncoder:
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.in_pieces = _in_pieces(self.tokenizer)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -85,6 +101,8 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text and the end id, as bytes of the file's integer type."""
+        if not self.in_pieces:
+            return [np.array(e.ids, dtype=self.type).tobytes() + self.end for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         cut = [_WHITE.split(t) if ("<|" in t if t.isascii() else _NOT_PLAIN.search(t)) else _PIECES.findall(t.lower()) for t in (x or "" for x in texts)]
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
@@ -104,8 +122,10 @@ def write(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None, end_
     """Write all documents in ascending id order; (folder, manifest with base).
 
     A null text is empty and yields the end id alone; null ids come first; rows
-    that repeat an id are written each. The folder is below the shared folder
-    unless given, and the manifest lies in it as Parquet.
+    that repeat an id are written each, ordered by the hash of their text, so
+    that reruns agree. Texts of any length are encoded whole; other columns are
+    ignored; an empty table gives an empty manifest. The folder is below the
+    shared folder unless given, and the manifest lies in it as Parquet.
     """
     spark = docs.sparkSession
     out_dir = (out_dir or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}").rstrip("/")
@@ -145,7 +165,8 @@ def write(docs: DataFrame, tokenizer_path: str, out_dir: str | None = None, end_
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    written = settle(rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(run, MANIFEST))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    written = settle(rows.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie").drop("tie").mapInArrow(run, MANIFEST))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     manifest = written.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     manifest.write.mode("overwrite").parquet(f"{uri}/manifest")
@@ -163,20 +184,23 @@ def read(uri: str, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
         store, root = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
         local = isinstance(store, pafs.LocalFileSystem)
 
-        def opened(path: str, kind) -> np.ndarray:
+        def part(path: str, kind, first: int, last: int) -> np.ndarray:
+            """Elements first to last of a file: mapped where it is local, else that range alone is read."""
             if local:
-                return np.memmap(path, dtype=kind, mode="r")
+                return np.memmap(path, dtype=kind, mode="r")[first:last]
+            size = np.dtype(kind).itemsize
             with store.open_input_file(path) as f:
-                return np.frombuffer(f.read_buffer(), dtype=kind)
+                return np.frombuffer(f.read_at((last - first) * size, first * size), dtype=kind)
 
         for b in batches:
             for name, base in zip(b.column("name").to_pylist(), b.column("base").to_pylist(), strict=True):
                 name, width = name.split(":")
-                owner, offsets = opened(f"{root}/{name}.docs", DOC), opened(f"{root}/{name}.offsets", "<u8").astype(np.int64)
-                ids = opened(f"{root}/{name}.ids", f"<u{width}")
-                for lo in range(0, len(owner), 5000):
-                    own, at = owner[lo : lo + 5000], offsets[lo : lo + 5001]
-                    sums = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
+                total = store.get_file_info(f"{root}/{name}.docs").size // DOC.itemsize
+                for lo in range(0, total, 2000):
+                    own = part(f"{root}/{name}.docs", DOC, lo, min(total, lo + 2000))
+                    at = part(f"{root}/{name}.offsets", "<u8", lo, lo + len(own) + 1).astype(np.int64)
+                    ids = part(f"{root}/{name}.ids", f"<u{width}", int(at[0]), int(at[-1]))
+                    sums = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(at[:-1] - at[0], at[1:] - at[0], strict=True)]
                     yield pa.record_batch([pa.array(own["id"], mask=own["null"] == 1), pa.array(base + at[:-1]), pa.array(np.diff(at)), pa.array(sums, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
     count = max(1, manifest.count())
