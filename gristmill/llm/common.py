@@ -37,6 +37,15 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "left", most: int = 200_000) -> DataFrame:
+    """``rows`` joined with one row a key of ``small``, by broadcast if that has at most ``most`` rows.
+
+    Beyond that it is a join by shuffle, whose skewed partitions Spark splits where
+    no aggregation follows. ``small`` should be settled: it is counted first.
+    """
+    return rows.join(F.broadcast(small) if small.count() <= most else small, keys, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

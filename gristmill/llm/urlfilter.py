@@ -1,29 +1,31 @@
 """URL filters: explicit host and path rules, then a path-template tree per host.
 
-The tree is grown level by level over all distinct paths. Under a node, a
-segment keeps a branch of its own only if the labelled share of blocked pages
-in it differs clearly from that of its siblings; all others are merged into one
-wildcard branch, and so are the children of a node whose values vary almost with
-every page. A template's purity is its share of blocked labelled pages, smoothed
-towards that of all labelled pages; templates whose purity exceeds a half are
-rejected. Rules supply the labels.
+The tree is grown level by level over all distinct paths, as deep as labels call
+for. Rules supply the labels. A node whose labelled pages are all alike needs no
+branches: whatever follows becomes wildcards. At a node with mixed labels, a
+segment that varies with almost every page becomes one wildcard; other branches
+are merged with those siblings that are statistically similar: labelled or not
+alike, leaves or inner branches alike, and next to each other in blocked share
+without a significant difference. A template's purity is its blocked share of
+labelled pages, smoothed towards that of its parent, the host and all pages in
+turn; templates whose purity exceeds ``REJECT`` are rejected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import settle
+from gristmill.llm.common import lookup, settle
 
-#: Levels of the tree; what lies deeper is one last segment.
-DEPTH = 4
 #: A node with so many children, and more than the root of its pages, is variable.
 MANY_CHILDREN = 8
-#: Standard deviations by which a branch must differ to stand alone.
+#: Standard errors by which the blocked shares of two siblings must differ to stay apart.
 APART = 1.5
-#: Labelled pages that the prior of a purity counts as.
-PRIOR = 4.0
+#: Labelled pages that the parent's purity counts as, and the purity above which a template goes.
+PRIOR, REJECT = 4.0, 0.75
 RULE_SCHEMA = "rule string, verdict string"
 
 
@@ -50,38 +52,64 @@ def _rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def _names(child: DataFrame, node: list[str]) -> DataFrame:
+    """(node, seg, name) of the branches of nodes that are not variable; branches with one name are merged."""
+    kids = settle(child.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("c_n").alias("pages")).filter((F.col("kids") < MANY_CHILDREN) | (F.col("kids") * F.col("kids") <= F.col("pages"))))
+    alike = [*node, "labelled", "leaf"]
+    branches = lookup(child, kids, node, "inner").withColumns({"labelled": F.col("c_known") > 0, "leaf": F.col("c_ends") * 2 >= F.col("c_n")})
+    share = F.when(F.col("labelled"), F.col("c_bad") / F.col("c_known")).otherwise(0.0)
+    order = Window.partitionBy(*alike).orderBy("share", "seg")
+    pooled = (F.col("c_bad") + F.col("bad_before")) / (F.col("c_known") + F.col("known_before"))
+    error = pooled * (1 - pooled) * (1 / F.col("c_known") + 1 / F.col("known_before"))
+    gap = F.col("share") - F.col("share_before")
+    apart = F.when(F.col("labelled") & (gap * gap > APART * APART * error), 1).otherwise(0)
+    branches = branches.withColumn("share", share).withColumns({f"{x}_before": F.lag(c).over(order) for x, c in (("share", "share"), ("bad", "c_bad"), ("known", "c_known"))})
+    grouped = branches.withColumn("apart", apart).withColumn("class", F.sum("apart").over(order))
+    members = Window.partitionBy(*alike, "class")
+    own = F.regexp_replace("seg", r"^\*", "%2A")
+    return grouped.select(*node, "seg", F.when(F.count("*").over(members) == 1, own).otherwise(F.concat(F.lit("*"), F.min("seg").over(members))).alias("name"))
+
+
+def _templates(tree: DataFrame) -> DataFrame:
+    """``tree`` with template and prior, the purity of the node that the template hangs on."""
+    node = ["host", "template"]
+    whole = tree.agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).first()
+    prior = ((whole["bad"] or 0) + 1) / ((whole["known"] or 0) + 2)
+    live, done, level = tree.withColumns({"template": F.lit(""), "prior": F.lit(prior)}), [], 0
+    while level == 0 or not live.isEmpty():
+        bad, known = F.sum("bad"), F.sum("known")
+        nodes = settle(live.groupBy(*node).agg(((bad > 0) & (bad < known)).alias("mixed"), ((bad + PRIOR * F.max("prior")) / (known + PRIOR)).alias("purity")))
+        seen = lookup(live.drop("prior"), nodes, node).withColumnRenamed("purity", "prior").withColumn("seg", F.get("segments", F.lit(level)))
+        rest = F.when(F.col("mixed"), 0).otherwise(F.greatest(F.size("segments") - level, F.lit(0)))
+        ended = seen.filter("not mixed or seg is null").withColumn("template", F.concat("template", F.repeat(F.lit("/*"), rest)))
+        done.append(ended.select(*tree.columns, "template", "prior"))
+        going = seen.filter("mixed and seg is not null").drop("mixed")
+        child = settle(going.groupBy(*node, "seg").agg(F.sum("n").alias("c_n"), F.sum("bad").alias("c_bad"), F.sum("known").alias("c_known"), F.sum(F.when(F.size("segments") == level + 1, F.col("n")).otherwise(0)).alias("c_ends")))
+        grown = lookup(going, settle(_names(child, node)), [*node, "seg"])
+        live = settle(grown.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))).select(*tree.columns, "template", "prior"))
+        level += 1
+    return reduce(DataFrame.unionByName, done)
+
+
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """All columns of ``pages`` and host, path, rule, verdict, template, purity.
 
     A url that is null or has no ``://`` has an empty host and path and fits no
     rule. verdict is the rule's, else ``block`` where the template's purity
-    exceeds a half and ``allow`` otherwise; of rules equally long the last by
-    name wins. Columns with the added names are replaced, repeated rows stay
-    repeated, and an empty table gives an empty result. ``rules`` has rule
-    (``domain/path``) and verdict.
+    exceeds ``REJECT`` and ``allow`` otherwise; of rules equally long the last by
+    name wins. Paths of any length and depth are read whole. Columns with the
+    added names are replaced, repeated rows stay repeated, and an empty table
+    gives an empty result. ``rules`` has rule (``domain/path``) and verdict.
     """
     added = ("host", "path", "rule", "verdict", "template", "purity")
     pages = pages.drop(*added).withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
-    paths = pages.groupBy("host", "path").agg(F.count("*").alias("n"))
-    fitting = _rules_of_hosts(paths.select("host").distinct(), rules)
+    paths = settle(pages.groupBy("host", "path").agg(F.count("*").alias("n")))
+    fitting = settle(_rules_of_hosts(paths.select("host").distinct(), rules))
     first = F.get(F.filter("fits", lambda r: F.startswith(F.col("path"), r["start"])), F.lit(0))
-    segments = F.split(F.substring("path", 2, 1 << 30), "/", DEPTH)
-    tree = paths.join(fitting, "host", "left").withColumn("fit", first).select("host", "path", "n", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("label"), segments.alias("segments"), F.lit("").alias("template"))
-    tree = tree.withColumns({"bad": F.when(F.col("label") == "block", F.col("n")).otherwise(0), "known": F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)})
-    tree = settle(tree)
-    for level in range(DEPTH):
-        here = tree.withColumn("seg", F.get("segments", F.lit(level)))
-        child = here.filter("seg is not null").groupBy("host", "template", "seg").agg(F.sum("n").alias("c_n"), F.sum("bad").alias("c_bad"), F.sum("known").alias("c_known"))
-        node = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("c_n").alias("p_n"), F.sum("c_bad").alias("p_bad"), F.sum("c_known").alias("p_known"))
-        share = F.col("p_bad") / F.col("p_known")
-        spread = F.sqrt(F.col("c_known") * share * (1 - share) + 0.25)
-        apart = (F.col("c_known") > 0) & (F.abs(F.col("c_bad") - F.col("c_known") * share) >= APART * spread)
-        varies = (F.col("children") >= MANY_CHILDREN) & (F.col("children") * F.col("children") > F.col("p_n"))
-        named = child.join(node, ["host", "template"]).filter(apart & ~varies).select("host", "template", "seg", F.col("seg").alias("name"))
-        grown = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*"))))
-        tree = settle(here.join(named, ["host", "template", "seg"], "left").withColumn("template", grown).drop("seg", "name"))
-    whole = tree.agg(F.sum("bad").alias("bad"), F.sum("known").alias("known")).first()
-    prior = ((whole["bad"] or 0) + 1) / ((whole["known"] or 0) + 2)
-    by_template = tree.groupBy("host", "template").agg(((F.sum("bad") + PRIOR * prior) / (F.sum("known") + PRIOR)).alias("purity"))
-    judged = tree.join(by_template, ["host", "template"]).select("host", "path", "rule", "template", "purity", F.coalesce("label", F.when(F.col("purity") > 0.5, "block").otherwise("allow")).alias("verdict"))
+    segments = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.expr("substring(path, 2)"), "/", -1))
+    tree = lookup(paths, fitting, ["host"]).withColumn("fit", first).select("host", "path", "n", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("label"), segments.alias("segments"))
+    tree = settle(tree.withColumns({"bad": F.when(F.col("label") == "block", F.col("n")).otherwise(0), "known": F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)}))
+    tree = settle(_templates(tree).drop("segments"))
+    by_template = settle(tree.groupBy("host", "template").agg(((F.sum("bad") + PRIOR * F.max("prior")) / (F.sum("known") + PRIOR)).alias("purity")))
+    judged = lookup(tree, by_template, ["host", "template"]).select("host", "path", "rule", "template", "purity", F.coalesce("label", F.when(F.col("purity") > REJECT, "block").otherwise("allow")).alias("verdict"))
     return pages.join(judged, ["host", "path"]).select(*[c for c in pages.columns if c not in added], *added)
