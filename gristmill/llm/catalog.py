@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import decontaminate, langid, mixing, orderhash, repeats, secrets, tokenfile, toxicity, urlfilter
-from gristmill.llm.common import held_out, settle, table
+from gristmill.llm.common import held_out, shared_dir, table
 from gristmill.llm.jaccard import jaccard_classes
 from gristmill.llm.oracle import ORACLE  # noqa: F401  read by the entry point
 
@@ -40,11 +41,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.findings(docs, settle(secrets.scan_new(docs)))
-    listed = F.array_join(F.transform("found", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = secrets.scan(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("found", lambda s: s["rank"] < len(secrets.RULES))
     kinds = F.transform("found", lambda s: s["kind"])
     counts = [(F.size("found") - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}") for r in secrets.RULES]
-    return found.select("doc_id", *counts, F.sha2(listed.cast("binary"), 256).alias("base_sha256"), listed.alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,14 @@ def _kind(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
     FROM d WHERE regexp_matches(text, '{pattern}'))) WHERE length(kept[i]) >= {least}"""
 
 
+_LOGIN = r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]+@"
+_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-s AS ({_kind(0, "assign", _ASSIGN, 2, 6)} UNION ALL {_kind(1, "access", "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_kind(2, "hex", "[0-9a-f]{24,}", 0, 24)}),
-a AS (SELECT doc_id, string_agg(kind || ':' || start::BIGINT || ':' || (start + length(hit))::BIGINT, ',' ORDER BY start, rank) AS spans, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM s GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+s AS ({_kind(0, "assign", _ASSIGN, 2, 6)} UNION ALL {_kind(1, "access", "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_kind(2, "hex", "[0-9a-f]{24,}", 0, 24)}
+  UNION ALL {_kind(3, "key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0)} UNION ALL {_kind(4, "jwt", _TOKEN, 0, 0)} UNION ALL {_kind(5, "login", _LOGIN, 0, 0)}),
+a AS (SELECT doc_id, string_agg(kind || ':' || start::BIGINT || ':' || (start + length(hit))::BIGINT, ',' ORDER BY start, rank) AS spans, string_agg(kind || ':' || start::BIGINT || ':' || (start + length(hit))::BIGINT, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+  count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
 
 #: The mix as windows over whole sources: the cut is the last finish time within the budget.
 MIXING = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
@@ -32,26 +36,34 @@ SELECT doc_id, size, source_size, target, CASE WHEN size > 0 AND target > 0 THEN
 
 def _level(k: int) -> str:
     return f""",
-h{k} AS (SELECT *, segments[{k + 1}] AS seg FROM t{k}),
-c{k} AS (SELECT host, template, seg, sum(n) AS cn, sum(bad) AS cb, sum(known) AS ck FROM h{k} WHERE seg IS NOT NULL GROUP BY ALL),
-n{k} AS (SELECT host, template, count(*) AS kids, sum(cn) AS pn, sum(cb) AS pb, sum(ck) AS pk FROM c{k} GROUP BY ALL),
-m{k} AS (SELECT host, template, seg FROM c{k} JOIN n{k} USING (host, template) WHERE ck > 0 AND abs(cb - ck * (pb / pk)) >= 1.5 * sqrt(ck * (pb / pk) * (1 - pb / pk) + 0.25) AND NOT (kids >= 8 AND kids * kids > pn)),
-t{k + 1} AS (SELECT h.* EXCLUDE (template, seg), CASE WHEN h.seg IS NULL THEN h.template ELSE h.template || '/' || CASE WHEN m.seg IS NULL THEN '*' ELSE h.seg END END AS template
-  FROM h{k} h LEFT JOIN m{k} m ON h.host = m.host AND h.template = m.template AND h.seg = m.seg)"""
+n{k} AS (SELECT host, template, sum(bad) > 0 AND sum(bad) < sum(known) AS mixed, (sum(bad) + 4.0 * max(prior)) / (sum(known) + 4.0) AS purity FROM t{k} GROUP BY ALL),
+s{k} AS (SELECT t.* EXCLUDE (prior), mixed, purity AS prior, segments[{k + 1}] AS seg FROM t{k} t JOIN n{k} USING (host, template)),
+e{k} AS (SELECT host, path, rule, label, bad, known, template || CASE WHEN mixed THEN '' ELSE repeat('/*', greatest(len(segments) - {k}, 0)) END AS template, prior FROM s{k} WHERE NOT mixed OR seg IS NULL),
+g{k} AS (SELECT * FROM s{k} WHERE mixed AND seg IS NOT NULL),
+c{k} AS (SELECT host, template, seg, sum(n) AS cn, sum(bad) AS cb, sum(known) AS ck, sum(CASE WHEN len(segments) = {k + 1} THEN n ELSE 0 END) AS ce FROM g{k} GROUP BY ALL),
+v{k} AS (SELECT c.*, ck > 0 AS labelled, ce * 2 >= cn AS leaf, CASE WHEN ck > 0 THEN cb / ck ELSE 0 END AS share FROM c{k} c JOIN (SELECT host, template FROM c{k} GROUP BY ALL HAVING count(*) < 8 OR count(*) * count(*) <= sum(cn)) USING (host, template)),
+l{k} AS (SELECT *, lag(share) OVER w AS sb, lag(cb) OVER w AS bb, lag(ck) OVER w AS kb FROM v{k} WINDOW w AS (PARTITION BY host, template, labelled, leaf ORDER BY share, seg)),
+a{k} AS (SELECT *, CASE WHEN labelled AND (share - sb) * (share - sb) > 1.5 * 1.5 * (((cb + bb) / (ck + kb)) * (1 - (cb + bb) / (ck + kb)) * (1 / ck + 1 / kb)) THEN 1 ELSE 0 END AS apart FROM l{k}),
+b{k} AS (SELECT *, sum(apart) OVER (PARTITION BY host, template, labelled, leaf ORDER BY share, seg) AS class FROM a{k}),
+m{k} AS (SELECT host, template, seg, CASE WHEN count(*) OVER w = 1 THEN regexp_replace(seg, '^\\*', '%2A') ELSE '*' || min(seg) OVER w END AS name FROM b{k} WINDOW w AS (PARTITION BY host, template, labelled, leaf, class)),
+t{k + 1} AS (SELECT g.host, g.path, g.n, g.rule, g.label, g.segments, g.bad, g.known, g.template || '/' || coalesce(name, '*') AS template, g.prior FROM g{k} g LEFT JOIN m{k} m ON g.host = m.host AND g.template = m.template AND g.seg = m.seg)"""
 
 
+#: Levels written out; the paths of the tables have three segments at most.
+LEVELS = 4
 URLS = (
     r"""WITH u AS (SELECT page_id, lower(coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')) AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r(rule, domain, start, verdict) AS (VALUES ('org/','org','/','allow'), ('example.org/es/','example.org','/es/','block'), ('example.org/en/1','example.org','/en/1','block'), ('com/fr/','com','/fr/','allow'), ('com/de/','com','/de/','block')),
 q AS (SELECT host, path, count(*) AS n FROM u GROUP BY ALL),
 fit AS (SELECT q.host, q.path, arg_max(rule, (length(rule), rule)) AS rule, arg_max(verdict, (length(rule), rule)) AS label FROM q JOIN r ON (q.host = domain OR q.host LIKE '%.' || domain) AND starts_with(q.path, start) GROUP BY ALL),
-sp AS (SELECT q.*, rule, label, string_split(substr(q.path, 2), '/') AS s FROM q LEFT JOIN fit USING (host, path)),
-t0 AS (SELECT host, path, n, rule, label, CASE WHEN len(s) > 4 THEN list_append(s[1:3], array_to_string(s[4:], '/')) ELSE s END AS segments, CASE WHEN label = 'block' THEN n ELSE 0 END AS bad, CASE WHEN label IS NOT NULL THEN n ELSE 0 END AS known, '' AS template FROM sp)"""
-    + "".join(_level(k) for k in range(4))
-    + """,
-prior AS (SELECT (sum(bad) + 1) / (sum(known) + 2) AS p FROM t4),
-pur AS (SELECT host, template, (sum(bad) + 4 * any_value(p)) / (sum(known) + 4) AS purity FROM t4, prior GROUP BY ALL)
-SELECT u.page_id, u.host, u.path, t.rule, coalesce(t.label, CASE WHEN pur.purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, t.template, pur.purity FROM u JOIN t4 t USING (host, path) JOIN pur ON pur.host = t.host AND pur.template = t.template"""
+d AS (SELECT q.*, rule, label, CASE WHEN q.path = '' THEN [] ELSE string_split(substr(q.path, 2), '/') END AS segments, CASE WHEN label = 'block' THEN n ELSE 0 END AS bad, CASE WHEN label IS NOT NULL THEN n ELSE 0 END AS known FROM q LEFT JOIN fit USING (host, path)),
+t0 AS (SELECT host, path, n, rule, label, segments, bad, known, '' AS template, (SELECT (sum(bad) + 1) / (sum(known) + 2) FROM d) AS prior FROM d)"""
+    + "".join(_level(k) for k in range(LEVELS))
+    + ",\nt AS ("
+    + " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(LEVELS))
+    + """),
+pur AS (SELECT host, template, (sum(bad) + 4.0 * max(prior)) / (sum(known) + 4.0) AS purity FROM t GROUP BY ALL)
+SELECT u.page_id, u.host, u.path, t.rule, coalesce(t.label, CASE WHEN pur.purity > 0.75 THEN 'block' ELSE 'allow' END) AS verdict, t.template, pur.purity FROM u JOIN t USING (host, path) JOIN pur ON pur.host = t.host AND pur.template = t.template"""
 )
 
 ORACLE = {"op5_secret_scan": SECRETS, "op8_mixing": MIXING, "op10_url_filter": URLS}

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +38,12 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
 )
+#: Further kinds, ranked after those above.
+MORE_RULES = (
+    Rule("key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("login", 1, r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]+@"),
+)
 LEDGER_SCHEMA = "blob string, rule string, spans array<struct<start:bigint,end:bigint>>"
 _SPANS = "array<struct<start:bigint,end:bigint>>"
 
@@ -65,10 +72,33 @@ def with_blob(versions: DataFrame, text_col: str = "text") -> DataFrame:
     return versions.withColumn("blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept at ``path``, or None before the first scan."""
+    try:
+        return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def scan(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES + MORE_RULES, text_col: str = "text") -> DataFrame:
+    """``findings`` of all versions, after what the ledger at ``ledger_path`` lacks was scanned and added to it.
+
+    ``versions`` may hold any number of versions of a path. A scan that failed
+    half way adds nothing; one that was added twice does not count twice.
+    """
+    spark = versions.sparkSession
+    scan_new(versions, read_ledger(spark, ledger_path), rules, text_col).write.mode("append").parquet(ledger_path)
+    return findings(versions, spark.read.schema(LEDGER_SCHEMA).parquet(ledger_path), rules, text_col)
+
+
 def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """Ledger rows (blob, rule, spans) for every pair of blob and rule version not in ``ledger``.
 
     An empty table, or one whose pairs were all scanned before, gives no rows.
+    Texts of any length are scanned whole; a null text is the empty blob; repeated
+    rows and other columns, whatever their names, do not matter.
     """
     named = with_blob(versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text")
     blobs = named.groupBy("blob").agg(F.first("text").alias("text"))
@@ -93,7 +123,8 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
 
     Every path of a blob gets all the blob's findings under the given rule
     versions; a path without any gets an empty array. Repeated rows stay repeated.
-    Columns of ``versions`` named blob or found are replaced.
+    Columns of ``versions`` named blob or found are replaced. Spans that begin
+    together are in the order of the rules; an empty table gives an empty result.
     """
     rank = {r.key: (i, r.kind) for i, r in enumerate(rules)}
     order = F.create_map(*[F.lit(x) for key, (i, _) in rank.items() for x in (key, i)])
@@ -102,7 +133,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
         ledger.filter(F.col("rule").isin(list(rank)) & (F.size("spans") > 0))
         .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("rank"), kind[F.col("rule")].alias("kind"), s["end"].alias("end"))).alias("found"))
         .groupBy("blob")
-        .agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
+        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
     )
     paths = with_blob(versions.drop("blob", "found"), text_col).drop(text_col)
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
