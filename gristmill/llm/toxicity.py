@@ -3,8 +3,11 @@
 A document's features are the distinct hashed n-grams of its lower-cased text.
 Per feature, r is the log of the smoothed ratio of the shares of toxic and
 clean documents that hold it, counted over all labelled training rows in one
-Spark aggregation. The features that tell the classes apart best are kept,
-scaled by r, and a logistic regression over them is fitted on a bounded sample.
+Spark aggregation. A logistic regression is fitted on a bounded sample: the
+features that tell the classes apart best have a weight of their own each,
+scaled by r; all others that were ever seen share one weight, that of the mean
+of their r over the document. While fitting, a document's own counts are left
+out of the r of these others, which are mostly rare.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ BITS = 20
 #: Characters of text whose n-grams are held at once.
 SLICE = 400_000
 #: Ids of labelled rows up to this many are broadcast (12 bytes each), else joined by shuffle.
-LABELS_BROADCAST = 1_000_000
+LABELS_BROADCAST = 200_000
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,14 +54,17 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ToxicModel:
-    """Weight of every hashed feature and the intercept."""
+    """Weight of every hashed feature, log-count ratio of those that share a weight, and the intercept."""
 
-    def __init__(self, weight: np.ndarray, intercept: float):
-        self.weight, self.intercept = weight, intercept
+    def __init__(self, weight: np.ndarray, intercept: float, ratio: np.ndarray | None = None, shared: float = 0.0):
+        self.weight, self.intercept, self.ratio, self.shared = weight, intercept, ratio, shared
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         row, f = features(texts)
         z = np.bincount(row, self.weight[f], len(texts)) + self.intercept
+        if self.ratio is not None:
+            r = self.ratio[f]
+            z += self.shared * np.bincount(row, r, len(texts)) / np.maximum(1, np.bincount(row, r != 0, len(texts)))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -87,7 +93,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", kept_features: int = 4000, sample_rows: int = 8000, smoothing: float = 1.0, l2: float = 2.0) -> ToxicModel:
     """Counts over all labelled rows; the regression on ``sample_rows`` of them, by least id hash (more only where rows repeat an id).
 
-    No labelled rows: a model that scores 0. One class only: its share decides.
+    ``kept_features`` have weights of their own, all others one in common. The
+    2**BITS counts fit the driver whatever the input's size. No labelled rows: a
+    model that scores 0. One class only: its share decides. Nulls among ids, texts
+    and labels, repeated rows, ties, other columns and texts of any length do no
+    harm; a null text counts as empty.
     """
     rows = _labelled(docs, labels, id_col, text_col, label_col)
     counts = settle(rows.select("text", "y").mapInArrow(_count, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
@@ -102,35 +112,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     f, ratio = best["feature"].to_numpy(dtype=np.int64), best["r"].to_numpy(dtype=float)
     slot = np.full(1 << BITS, -1, dtype=np.int64)
     slot[f] = np.arange(len(f))
+    every = counts.filter("feature >= 0").toArrow()  # 2**BITS rows at most
+    seen = np.zeros((2, 1 << BITS), dtype=np.int32)
+    for k, name in enumerate(("clean", "toxic")):
+        seen[k, every.column("feature").to_numpy()] = every.column(name).to_numpy()
+    del every
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, y = b.column(0).to_pylist(), b.column(1)
             for lo, hi in slices(texts, SLICE):
                 row, x = features(texts[lo:hi])
-                row, x = row[slot[x] >= 0], slot[x][slot[x] >= 0]
+                other = slot[x] < 0
+                r = _rest(seen[:, x[other]], n0, n1, y.to_numpy()[lo:hi][row[other]])
+                rest = np.bincount(row[other], r, hi - lo) / np.maximum(1, np.bincount(row[other], r != 0, hi - lo))
+                row, x = row[~other], slot[x[~other]]
                 ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.record_batch([y[lo:hi], pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32)))], ["y", "x"])
+                yield pa.record_batch([y[lo:hi], pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))), pa.array(rest)], ["y", "x", "rest"])
 
     # The cut is found on ids alone, so that no text is sorted or gathered in one task.
     hashes = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(sample_rows)
     cut = hashes.agg(F.max("h")).first()[0]
     near = rows.filter(F.xxhash64("id") <= cut)
-    got = near.select("text", "y").mapInArrow(picked, "y int, x array<int>").toArrow()
+    got = near.select("text", "y").mapInArrow(picked, "y int, x array<int>, rest double").toArrow()
     y = got.column("y").to_numpy().astype(float)
     lists = got.column("x").combine_chunks()
     x = lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-    w, b = _fit(row, x, ratio, y, l2)
+    w, b = _fit(row, x, ratio, got.column("rest").to_numpy(), y, l2)
     weight = np.zeros(1 << BITS)
-    weight[f] = w * ratio
-    return ToxicModel(weight, b)
+    weight[f] = w[:-1] * ratio
+    rest = _rest(seen, n0, n1)
+    rest[f] = 0
+    return ToxicModel(weight, b, rest.astype(np.float32), float(w[-1]))
 
 
-def _fit(row: np.ndarray, x: np.ndarray, ratio: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent with a step from the data's own curvature."""
-    value = ratio[x].astype(np.float32)
+def _rest(seen: np.ndarray, n0: float, n1: float, own: np.ndarray | None = None) -> np.ndarray:
+    """Log-count ratios, smoothed by the classes' shares, without the ``own`` label's document; 0 where nothing is left."""
+    clean, toxic = (seen[0], seen[1]) if own is None else (seen[0] - (own == 0), seen[1] - (own == 1))
+    e = 2 / (n0 + n1)
+    return np.where(clean + toxic > 0, np.log((toxic / max(n1, 1) + e) / (clean / max(n0, 1) + e)), 0.0)
+
+
+def _fit(row: np.ndarray, x: np.ndarray, ratio: np.ndarray, rest: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression by accelerated gradient descent with a step from the data's own curvature.
+
+    The last weight is that of ``rest``, one value a row.
+    """
     n = max(1, len(y))
+    row, x = np.append(row, np.arange(len(y), dtype=np.int32)), np.append(x, np.full(len(y), len(ratio), dtype=np.int32))
+    value = np.append(ratio[x[: len(x) - len(y)]], rest).astype(np.float32)
+    ratio = np.append(ratio, 0.0)
     mass = np.bincount(row, np.abs(value), n)
     reach = np.bincount(x, np.abs(value) * mass[row], len(ratio))
     rate = 1 / (0.25 * reach + l2)
@@ -152,7 +184,7 @@ def score(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFra
     """All columns of ``docs`` and score (0 to 1, a null text counts as empty).
 
     Repeated rows, ties and other columns do not matter; a column named score is
-    replaced; an empty table gives an empty result.
+    replaced; texts of any length count whole; an empty table gives an empty result.
     """
     docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
