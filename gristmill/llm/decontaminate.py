@@ -9,7 +9,8 @@ hash-joined with benchmark windows. Windows of one item on neighbouring diagonal
 of a document form an alignment, so that words put in or left out do not split
 it; it counts as a copy if it covers enough of the item's windows and its slots
 are consistent: one benchmark value always faces one document value, and the
-reverse.
+reverse. Items too short for a window, or with too few literal words for any,
+are compared by windows of their very words instead.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ _U = np.uint64
 MAP_BITS = 24
 #: Benchmark windows up to this many are broadcast (about 100 bytes each), else joined by shuffle.
 WINDOWS_BROADCAST = 200_000
-#: Windows with fewer literal tokens than this say too little and are left out.
+#: Templates with fewer literal tokens than this say too little; items without any other are matched word by word.
 LEAST_LITERALS = 3
+#: Added to the number of words, this is the form of windows that hold their very words.
+EXACT = 2
 #: Words a worker remembers; it starts afresh beyond that.
 REMEMBERED = 500_000
 
@@ -118,7 +121,7 @@ def _merged(kind: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return kind, np.flatnonzero(new)
 
 
-def _windows(value: np.ndarray, kind: np.ndarray, text: np.ndarray, at: np.ndarray, width: int, form: int):
+def _windows(value: np.ndarray, kind: np.ndarray, text: np.ndarray, at: np.ndarray, width: int, form: int, mixed: bool = True):
     """(first token, hash, slots) of all windows of the tokens that begin at the words ``at``."""
     n = max(0, len(at) - width + 1)
     total = np.add.reduceat(value, at) if len(at) else value[:0]
@@ -136,7 +139,7 @@ def _windows(value: np.ndarray, kind: np.ndarray, text: np.ndarray, at: np.ndarr
         ends = np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)
         return pa.ListArray.from_arrays(ends, pa.array(total[grid[filled]].view(np.int64)))
 
-    return first, mix(out[first]), slots
+    return first, mix(out[first]) if mixed else out[first], slots
 
 
 def _factors(width: int) -> np.ndarray:
@@ -218,15 +221,16 @@ def _known_names(value: np.ndarray, text: np.ndarray, capital: np.ndarray, start
     return known & starts
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 8, cover: float = 0.5, consistent: float = 0.8, shift: int = 16, run: int = 13) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 8, cover: float = 0.5, consistent: float = 0.8, shift: int = 16, run: int = 13, shortest: int = 3) -> DataFrame:
     """One row per distinct id with a copied item: id_col, items (sorted array), cover (the largest).
 
     A document copies an item if a chain of diagonals, each at most ``shift``
     words from the next, holds at least ``cover`` of the item's windows or
     ``run`` of them, and at least ``consistent`` of its slot pairs agree with a
-    one-to-one mapping. Items of fewer than ``width`` tokens cannot be told from
-    chance and are never matched; null ids and null or empty texts of either
-    side match nothing. Rows that repeat an id are pooled; repeated items count
+    one-to-one mapping. Items that yield no template are matched by their very
+    words, folded and without outer punctuation; below ``shortest`` words they
+    say nothing and never match. Null ids and null or empty texts of either side
+    match nothing; texts of any length are read whole. Rows that repeat an id are pooled; repeated items count
     each; other columns are ignored; empty tables give an empty result.
     """
 
@@ -241,20 +245,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 named = np.where(capital, _NAME, kind)
                 rows = []
                 for k, (a, z) in enumerate(zip(np.cumsum(count) - count, np.cumsum(count), strict=True)):
-                    if z - a < width:
-                        continue
-                    item = _Item(value[a:z], named[a:z], maybe[a:z], width)
-                    for form in (0, 1) if item.short else (0,):
-                        got = list(item.windows(form))
-                        total = len({p for p, _, _ in got})
-                        rows += [(k + lo, form, p, h, total, s) for p, h, s in got]
+                    found = len(rows)
+                    if z - a >= width:
+                        item = _Item(value[a:z], named[a:z], maybe[a:z], width)
+                        for form in (0, 1) if item.short else (0,):
+                            got = list(item.windows(form))
+                            total = len({p for p, _, _ in got})
+                            rows += [(k + lo, form, p, h, total, s) for p, h, s in got]
+                    if len(rows) == found and z - a >= shortest:
+                        w = min(width, int(z - a))
+                        first, h, _ = _windows(value[a:z], np.zeros(z - a, np.int8), text[a:z], np.arange(z - a), w, EXACT + w, False)
+                        rows += [(k + lo, EXACT + w, int(p), int(x), len(first), []) for p, x in zip(first, h, strict=True)]
                 if rows:
                     row, form, at, h, total, slots = zip(*rows, strict=True)
                     held = pa.array([[None if v is None else v - (v >> 63 << 64) for v in s] for s in slots], pa.list_(pa.int64()))
                     yield pa.record_batch([ids.take(pa.array(row)), pa.array(form, pa.int64()), pa.array(at, pa.int64()), pa.array(mix(np.array(h, dtype=np.uint64)).view(np.int64)), pa.array(total, pa.int64()), held], ["item", "form", "ipos", "h", "total", "islots"])
 
     items = settle(benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).mapInArrow(bench, "item long, form long, ipos long, h long, total long, islots array<long>"))
-    forms = (0,) if items.filter("form = 1").isEmpty() else (0, 1)
+    forms = sorted({0, *(r["form"] for r in items.select("form").distinct().collect())})  # width + 2 at most
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
@@ -281,6 +289,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 maybe = capital & starts & ~_known_names(value, text, capital, starts)
                 for named, literal in ((capital, None), (capital & ~maybe, maybe)):
                     for form in forms:
+                        if form >= EXACT:
+                            if literal is None:
+                                first, h, slots = _windows(value, np.zeros(len(value), np.int8), text, np.arange(len(value)), form - EXACT, form)
+                                hit = np.flatnonzero(wanted[(h >> _U(64 - MAP_BITS)).astype(np.int64)])
+                                if len(hit):
+                                    word = first[hit]
+                                    yield pa.record_batch([ids.take(pa.array(text[word] + lo)), pa.array(word - begin[text[word]]), pa.array(h[hit].view(np.int64)), slots(hit)], ["doc", "pos", "h", "dslots"])
+                            continue
                         read = np.where(named, _NAME, kind)
                         read, at = (read, np.arange(len(read))) if form else _merged(read, text)
                         first, h, slots = _windows(value, read, text, at, width, form)
