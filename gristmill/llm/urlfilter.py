@@ -57,10 +57,11 @@ def _names(child: DataFrame, node: list[str]) -> DataFrame:
     kids = settle(child.groupBy(*node).agg(F.count("*").alias("kids"), F.sum("c_n").alias("pages")).filter((F.col("kids") < MANY_CHILDREN) | (F.col("kids") * F.col("kids") <= F.col("pages"))))
     alike = [*node, "labelled", "leaf"]
     branches = lookup(child, kids, node, "inner").withColumns({"labelled": F.col("c_known") > 0, "leaf": F.col("c_ends") * 2 >= F.col("c_n")})
-    share = F.when(F.col("labelled"), F.col("c_bad") / F.col("c_known")).otherwise(0.0)
+    share = F.coalesce(F.col("c_bad") / F.nullif(F.col("c_known"), F.lit(0)), F.lit(0.0))
     order = Window.partitionBy(*alike).orderBy("share", "seg")
-    pooled = (F.col("c_bad") + F.col("bad_before")) / (F.col("c_known") + F.col("known_before"))
-    error = pooled * (1 - pooled) * (1 / F.col("c_known") + 1 / F.col("known_before"))
+    known, before = F.nullif(F.col("c_known"), F.lit(0)), F.nullif(F.col("known_before"), F.lit(0))  # unlabelled siblings have no error
+    pooled = (F.col("c_bad") + F.col("bad_before")) / (known + before)
+    error = pooled * (1 - pooled) * (1 / known + 1 / before)
     gap = F.col("share") - F.col("share_before")
     apart = F.when(F.col("labelled") & (gap * gap > APART * APART * error), 1).otherwise(0)
     branches = branches.withColumn("share", share).withColumns({f"{x}_before": F.lag(c).over(order) for x, c in (("share", "share"), ("bad", "c_bad"), ("known", "c_known"))})
