@@ -112,8 +112,9 @@ def register_transform(name: str, make: Callable[..., Value]) -> None:
     TRANSFORMS[name] = make
 
 
-def compile_selector(text: str) -> list[Value]:
-    """One Value per selector; text that does not parse raises SelectorError."""
+def compile_selector(text: str, extractors: dict[str, Callable[..., Value]] | None = None) -> list[Value]:
+    """One Value per selector; text that does not parse raises SelectorError. ``extractors`` go before the common ones."""
+    known = EXTRACTORS | (extractors or {})
     out = []
     for part in re.split(r""";(?=(?:[^'"]|'[^']*'|"[^"]*")*$)""", text):
         at, value = 0, None
@@ -121,7 +122,7 @@ def compile_selector(text: str) -> list[Value]:
             m = _CALL.match(part, at)
             if not m:
                 raise SelectorError(f"cannot parse {part[at:]!r}")
-            table = EXTRACTORS if value is None else TRANSFORMS
+            table = known if value is None else TRANSFORMS
             if m[1] not in table:
                 raise SelectorError(f"unknown {'extractor' if value is None else 'transform'} {m[1]!r}")
             value = table[m[1]](*_args(m[2])) if value is None else table[m[1]](value, *_args(m[2]))
@@ -136,9 +137,9 @@ def compile_selector(text: str) -> list[Value]:
     return out
 
 
-def combine(text: str, delimiter: str = "") -> Column:
+def combine(text: str, delimiter: str = "", extractors: dict[str, Callable[..., Value]] | None = None) -> Column:
     """All selectors as one text; if any is a list they are zipped element by element."""
-    values = compile_selector(text)
+    values = compile_selector(text, extractors)
     if not any(v.is_list for v in values):
         return F.concat_ws(delimiter, *[v.column for v in values])
     longest = F.greatest(*[F.size(_as_list(v)) for v in values]) if len(values) > 1 else F.size(_as_list(values[0]))

@@ -85,6 +85,12 @@ def reputation_score(average: str, n: str, reject: float = 10.0, least: int = 10
     return F.when(F.col(n) < least, 0.0).otherwise(F.tanh(F.col(average) / reject * 1.83178 - 0.5493) * mult)
 
 
+def rounded(n: Column, d: Column) -> Column:
+    """n / d of two whole numbers, d positive, to the nearest whole one, halves upwards; exact."""
+    twice = 2 * n + d
+    return ((twice - F.pmod(twice, 2 * d)) / (2 * d)).cast("long")
+
+
 def archive(df: DataFrame, ts: str, value: str, step_s: int, steps: int, xff: float = 0.5, group: list[str] | None = None) -> DataFrame:
     """Round-robin consolidation: averages over primary points of ``step_s``, ``steps`` to a row.
 
@@ -94,11 +100,13 @@ def archive(df: DataFrame, ts: str, value: str, step_s: int, steps: int, xff: fl
     group = group or []
     seconds = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000)
     points = df.groupBy(*group, (F.floor(seconds / step_s) * step_s).alias("point")).agg(F.sum(F.round(F.col(value) * 1e6).cast("long")).alias("total"), F.count(value).alias("rows"))
-    points = points.withColumn("pdp", F.col("total") / 1e6 / F.col("rows"))
+    points = points.filter("rows > 0").withColumn("pdp", rounded(F.col("total"), F.col("rows")))  # in millionths
     size = step_s * steps
-    rows = points.groupBy(*group, (F.floor(F.col("point") / size) * size).alias("slot")).agg(F.sum(F.round(F.col("pdp") * 1e6).cast("long")).alias("sum"), F.max("pdp").alias("maximum"), F.min("pdp").alias("minimum"), F.count("pdp").alias("known"))
+    rows = points.groupBy(*group, (F.floor(F.col("point") / size) * size).alias("slot")).agg(F.sum("pdp").alias("sum"), F.max("pdp").alias("maximum"), F.min("pdp").alias("minimum"), F.count("pdp").alias("known"))
     enough = (F.lit(steps) - F.col("known")) <= steps * xff
-    return rows.select(*group, "slot", F.when(enough, F.round(F.col("sum") / 1e6 / F.col("known"), 4)).alias("average"), F.round(F.when(enough, F.col("maximum")), 4).alias("maximum"), F.round(F.when(enough, F.col("minimum")), 4).alias("minimum"), "known")
+    hundred = F.lit(100).cast("long")
+    shown = {"average": rounded(F.col("sum"), hundred * F.col("known")), "maximum": rounded(F.col("maximum"), hundred), "minimum": rounded(F.col("minimum"), hundred)}
+    return rows.select(*group, "slot", *[F.when(enough, c / 1e4).alias(n) for n, c in shown.items()], "known")
 
 
 def newest(df: DataFrame, key: str, ts: str, tie: str, n: int) -> DataFrame:

@@ -320,9 +320,14 @@ def history_ring(spark, sf_dir):
     return state.newest(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 5).select("user_id", "event_id", "nth")
 
 
-@query("""WITH p AS (SELECT event_type, floor(floor(epoch_us(ts) / 1000000) / 3600)::BIGINT * 3600 AS point, sum(round(value * 1e6)::BIGINT) AS total, count(value) AS n FROM events GROUP BY 1, 2),
-  r AS (SELECT event_type, floor(point / 21600)::BIGINT * 21600 AS slot, sum(round(total / 1e6 / n * 1e6)::BIGINT) AS s, max(total / 1e6 / n) AS mx, min(total / 1e6 / n) AS mn, count(*) AS known FROM p GROUP BY 1, 2)
-  SELECT event_type, slot, CASE WHEN 6 - known <= 3 THEN round(s / 1e6 / known, 4) END AS average, CASE WHEN 6 - known <= 3 THEN round(mx, 4) END AS maximum, CASE WHEN 6 - known <= 3 THEN round(mn, 4) END AS minimum, known FROM r""")
+def _rounded(n: str, d: str) -> str:
+    """SQL of a whole quotient to the nearest whole number, halves upwards."""
+    return f"((2 * ({n}) + ({d}) - ((2 * ({n}) + ({d})) % (2 * ({d})) + 2 * ({d})) % (2 * ({d}))) // (2 * ({d})))::BIGINT"
+
+
+@query(f"""WITH p AS (SELECT event_type, floor(floor(epoch_us(ts) / 1000000) / 3600)::BIGINT * 3600 AS point, sum(round(value * 1e6)::BIGINT)::BIGINT AS total, count(value) AS n FROM events GROUP BY 1, 2),
+  r AS (SELECT event_type, floor(point / 21600)::BIGINT * 21600 AS slot, sum({_rounded("total", "n")})::BIGINT AS s, max({_rounded("total", "n")}) AS mx, min({_rounded("total", "n")}) AS mn, count(*) AS known FROM p WHERE n > 0 GROUP BY 1, 2)
+  SELECT event_type, slot, CASE WHEN 6 - known <= 3 THEN {_rounded("s", "100 * known")} / 1e4 END AS average, CASE WHEN 6 - known <= 3 THEN {_rounded("mx", "100")} / 1e4 END AS maximum, CASE WHEN 6 - known <= 3 THEN {_rounded("mn", "100")} / 1e4 END AS minimum, known FROM r""")
 def round_robin_archive(spark, sf_dir):
     return state.archive(read(spark, sf_dir, "events"), "ts", "value", 3600, 6, group=["event_type"])
 
@@ -409,4 +414,4 @@ def train_test_split(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.when(fold < 8, "train").otherwise("test").alias("part"))
 
 
-from gristmill.plans import learning, lookup, sequences, texts, web  # noqa: E402, F401 (they register more queries)
+from gristmill.plans import learning, lookup, mail, sequences, texts, web  # noqa: E402, F401 (they register more queries)
