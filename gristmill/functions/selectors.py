@@ -31,7 +31,7 @@ class Value:
 
 
 def _args(text: str | None) -> list[str]:
-    return [next(g for g in m.groups() if g is not None).strip() for m in _ARG.finditer(text)] if text and text.strip() else []
+    return [m[1] if m[1] is not None else m[2] if m[2] is not None else m[3].strip() for m in _ARG.finditer(text)] if text and text.strip() else []
 
 
 #: Extractors over a table with columns text, id, source, url where they apply.
@@ -75,6 +75,18 @@ def _keep(ok: Callable[[Column, list[str]], Column]) -> Callable[..., Value]:
     return lambda v, *a: Value(F.filter(v.column, lambda x: ok(x, list(a))) if v.is_list else F.when(ok(v.column, list(a)), v.column), v.is_list)
 
 
+def _every_nth(values: Column, n: int, sep: str) -> Column:
+    """Each ``n`` neighbours joined to one text."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / n).cast("int") - 1, F.lit(0)))
+    return F.when(F.size(values) > 0, F.transform(starts, lambda k: F.array_join(F.slice(values, k * n + 1, n), sep))).otherwise(F.array().cast("array<string>"))
+
+
+def _masked(ip: Column, bits: int) -> Column:
+    """The IPv4 network of ``bits`` bits that holds the address."""
+    net = T.ip_number(ip) - F.pmod(T.ip_number(ip), F.lit(1 << (32 - bits)))
+    return F.concat_ws(".", *[F.floor(net / (1 << shift)).cast("long").bitwiseAND(255).cast("string") for shift in (24, 16, 8, 0)])
+
+
 #: Transforms by name; each takes a Value and text arguments.
 TRANSFORMS: dict[str, Callable[..., Value]] = {
     "lower": _each(lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")),
@@ -100,6 +112,13 @@ TRANSFORMS: dict[str, Callable[..., Value]] = {
     "to_ascii": _each(lambda x, c="?": F.regexp_replace(x, r"[^\x00-\x7F]", c)),
     "get_tld": _each(lambda x: T.registered_domain(T.parse_host(x))),
     "get_host": _each(T.parse_host),
+    "join_nth": lambda v, n, sep="": Value(_every_nth(_as_list(v), int(n), sep), True),
+    "filter_map": lambda v, *a: Value(F.filter(_as_list(v), lambda x: x.isin(list(a))), True),
+    "except_map": lambda v, *a: Value(F.filter(_as_list(v), lambda x: ~x.isin(list(a))), True),
+    "apply_map": lambda v, *a: Value(F.filter(F.transform(_as_list(v), lambda x: F.coalesce(*[F.when(x == e.split("=")[0], F.lit(e.split("=")[1])) for e in a])), lambda x: x.isNotNull()), True),
+    "filter_string_nils": lambda v: Value(F.filter(_as_list(v), lambda x: x.isNotNull() & ~x.isin("nil", "")), True),
+    "ipmask": _each(lambda x, bits, *six: _masked(x, int(bits))),
+    "pack_numbers": lambda v: Value(F.array_join(F.transform(_as_list(v), lambda x: F.lower(F.lpad(F.hex(x.try_cast("long")), 8, "0"))), "")),
     "len": lambda v: Value((F.size(v.column) if v.is_list else F.length(v.column)).cast("string")),
 }
 
