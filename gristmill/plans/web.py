@@ -61,23 +61,23 @@ def html_shingles(spark, sf_dir):
     return fuzzy.shingles(read(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", H.tags(F.col("html"))).alias("text")), "page_id")
 
 
-_DOMAIN_SQL = r"""u AS (SELECT doc_id, lower(regexp_extract(x, '^https?://([^/?#:]+)', 1)) AS host FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9./?=&_-]+')) AS x FROM documents)),
-  d AS (SELECT doc_id, array_to_string(string_split(host, '.')[-2:], '.') AS domain, count(*) AS n FROM u WHERE host <> '' GROUP BY 1, 2)"""
+_DOMAIN_SQL = rf"""{_LINKS_SQL}, u AS (SELECT page_id, lower(regexp_extract(href, '^https?://([^/?#:]+)', 1)) AS host FROM l),
+  d AS (SELECT page_id, array_to_string(string_split(host, '.')[-2:], '.') AS domain, count(*) AS n FROM u WHERE host <> '' GROUP BY 1, 2)"""
 
 
 def _domains(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("https?://[A-Za-z0-9./?=&_-]+"), F.lit(0))).alias("url"))
-    hosts = rows.select("doc_id", T.parse_host("url").alias("host")).filter("host != ''")
-    return hosts.groupBy("doc_id", T.registered_domain(F.col("host")).alias("domain")).agg(F.count("*").alias("n"))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(H.links(F.col("html"))).alias("l"))
+    hosts = rows.select("page_id", F.lower(F.regexp_extract("l.href", "^https?://([^/?#:]+)", 1)).alias("host")).filter("host != ''")
+    return hosts.groupBy("page_id", T.registered_domain(F.col("host")).alias("domain")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_DOMAIN_SQL} SELECT doc_id, domain, n, r::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, domain) AS r FROM d) WHERE r <= 3")
+@query(f"WITH {_DOMAIN_SQL} SELECT page_id, domain, n, r::INT AS r FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, domain) AS r FROM d) WHERE r <= 3")
 def top_domains(spark, sf_dir):
-    """The most linked domains of each text: a report of three."""
-    order = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "domain")
+    """The most linked domains of each page: a report of three."""
+    order = Window.partitionBy("page_id").orderBy(F.col("n").desc(), "domain")
     return _domains(spark, sf_dir).withColumn("r", F.row_number().over(order)).filter("r <= 3")
 
 
-@query(f"WITH {_DOMAIN_SQL} SELECT doc_id, count(*) AS domains_total, max(n) AS max_links_single_domain FROM d GROUP BY doc_id")
+@query(f"WITH {_DOMAIN_SQL} SELECT page_id, count(*) AS domains_total, max(n) AS max_links_single_domain FROM d GROUP BY page_id")
 def domain_counts(spark, sf_dir):
-    return _domains(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("domains_total"), F.max("n").alias("max_links_single_domain"))
+    return _domains(spark, sf_dir).groupBy("page_id").agg(F.count("*").alias("domains_total"), F.max("n").alias("max_links_single_domain"))
