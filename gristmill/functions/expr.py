@@ -2,7 +2,8 @@
 
 Operators by falling precedence: ``!``; ``* /``; ``+ -``; comparisons; ``&``;
 ``|``. ``&&``, ``||``, ``and``, ``or`` and ``not`` are synonyms. Chains of one
-associative operator become one n-ary node. An atom is any other word; one that
+associative operator become one n-ary node. In postfix form the operands of
+``&`` and ``|`` are in order of their number of atoms. An atom is any other word; one that
 begins with ``-`` and follows an operator belongs to the atom.
 """
 
@@ -38,7 +39,8 @@ class Node:
         if self.op is None:
             return self.text if re.fullmatch(r"\d+(\.\d+)?", self.text) and self.bare else f"({self.text})"
         count = f"({len(self.items)})" if len(self.items) > 2 or (self.op == "+" and len(self.items) > 2) else ""
-        return " ".join([*(i.postfix() for i in self.items), self.op + count])
+        items = sorted(self.items, key=lambda i: len(i.atoms())) if self.op in ("&", "|") else self.items
+        return " ".join([*(i.postfix() for i in items), self.op + count])
 
     bare: bool = False
 

@@ -258,7 +258,12 @@ def bayes_evidence(spark, sf_dir):
     return met.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), *[F.round(F.sum(F.round(F.ln(c) * 1e9).cast("long")) / 1e9, 4).alias(n) for c, n in (("bp", "ln_spam"), ("bh", "ln_ham"))])
 
 
-@query()
+def _tail(v: str) -> str:
+    """SQL of min(1, sum over i < n_tokens of e^v (-v)^i / i!)."""
+    return f"least(1.0, list_sum(list_transform(range(n_tokens), lambda i: exp({v} + i * ln(-{v}) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END))))"
+
+
+@query(f"{_BAYES_SQL} SELECT doc_id, n_tokens, round(CASE WHEN lp > -300 AND lh > -300 THEN ((1 - {_tail('lh')}) + 1 - (1 - {_tail('lp')})) / 2 ELSE 1 / (1 + exp(least(greatest(lh - lp, -500), 500))) END, 6) AS prob FROM s")
 def bayes_classify(spark, sf_dir):
     return _bayes(spark, sf_dir).select("doc_id", "n_tokens", F.round("prob", 6).alias("prob"))
 
@@ -310,7 +315,11 @@ def reputations(spark, sf_dir):
     return out.select("user_id", "event_id", F.round("average", 4).alias("average"), "n", F.round(state.reputation_score("average", "n", 100.0), 4).alias("reputation"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EVENTS_SQL}, z AS (
+  SELECT event_id, user_id, rn, t AS first, 'new' AS verdict FROM e WHERE rn = 1 UNION ALL
+  SELECT e.event_id, e.user_id, e.rn, CASE WHEN e.t - z.first <= 432000 THEN z.first ELSE e.t END, CASE WHEN e.t - z.first > 432000 THEN 'new' WHEN e.t - z.first >= 3600 THEN 'pass' ELSE 'defer' END
+    FROM z JOIN e ON e.user_id = z.user_id AND e.rn = z.rn + 1)
+  SELECT user_id::VARCHAR AS user_id, event_id, verdict FROM z""")
 def greylisting(spark, sf_dir):
     return state.fold(read(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id", state.greylist(3600.0, 5 * 86400.0), "verdict string")
 

@@ -61,13 +61,15 @@ def html_shingles(spark, sf_dir):
     return fuzzy.shingles(read(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", H.tags(F.col("html"))).alias("text")), "page_id")
 
 
-_DOMAIN_SQL = rf"""{_LINKS_SQL}, u AS (SELECT page_id, lower(regexp_extract(href, '^https?://([^/?#:]+)', 1)) AS host FROM l),
+_DOMAIN_SQL = rf"""{_LINKS_SQL}, u AS (SELECT page_id, lower(coalesce(nullif(regexp_extract(href, '^https?://([^/?#:]+)', 1), ''), regexp_extract(url, '^https?://([^/?#:]+)', 1))) AS host FROM l),
   d AS (SELECT page_id, array_to_string(string_split(host, '.')[-2:], '.') AS domain, count(*) AS n FROM u WHERE host <> '' GROUP BY 1, 2)"""
 
 
 def _domains(spark, sf_dir):
-    rows = read(spark, sf_dir, "pages").select("page_id", F.explode(H.links(F.col("html"))).alias("l"))
-    hosts = rows.select("page_id", F.lower(F.regexp_extract("l.href", "^https?://([^/?#:]+)", 1)).alias("host")).filter("host != ''")
+    """Links by the domain they lead to; relative ones lead to the page's own."""
+    own, named = (F.regexp_extract(c, "^https?://([^/?#:]+)", 1) for c in ("url", "l.href"))
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.explode(H.links(F.col("html"))).alias("l"))
+    hosts = rows.select("page_id", F.lower(F.when(named != "", named).otherwise(own)).alias("host")).filter("host != ''")
     return hosts.groupBy("page_id", T.registered_domain(F.col("host")).alias("domain")).agg(F.count("*").alias("n"))
 
 

@@ -2,12 +2,17 @@ import pytest
 from gristmill.functions import expr
 from pyspark.sql import functions as F
 
+#: Expressions and their postfix forms, then expressions and their values.
 POSTFIX = {
     "A & (!B | C)": "(A) (B) ! (C) | &",
-    "A & B | !C": "(A) (B) & (C) ! |",
+    "A & B | !C": "(C) ! (A) (B) & |",
     "A & (B | !C)": "(A) (B) (C) ! | &",
     "(((A)))": "(A)",
     "A + B + C + D > 2": "(A) (B) (C) (D) +(4) 2 >",
+    "((A + B + C + D) > 2) & D": "(D) (A) (B) (C) (D) +(4) 2 > &",
+    "A | B | C & D & E": "(A) (B) (C) (D) (E) &(3) |(3)",
+    "1 | 0 & 0 | 0": "(1) (0) (0) (0) & |(3)",
+    "A + B + -C": "(A) (B) (-C) +(3)",
     "(A) & (B) & ((C) | (D) | (E) | (F))": "(A) (B) (C) (D) (E) (F) |(4) &(3)",
 }
 VALUES = {
