@@ -42,23 +42,25 @@ def prefixes(entries: DataFrame) -> DataFrame:
     """(net, bits, value) of IPv4 networks ``a.b.c.d/bits`` in column key."""
     bits = F.coalesce(F.try_element_at(F.split("key", "/"), F.lit(2)).try_cast("int"), F.lit(32))
     address = ip_number(F.element_at(F.split("key", "/"), 1))
-    size = F.pow(F.lit(2), 32 - bits).cast("long")
-    return entries.select((address - F.pmod(address, size)).alias("net"), bits.alias("bits"), "value").filter("net is not null")
+    rows = entries.select(address.alias("address"), bits.alias("bits"), "value").filter("address is not null and bits between 0 and 32")
+    return rows.select((F.col("address") - F.pmod("address", F.pow(F.lit(2), 32 - F.col("bits")).cast("long"))).alias("net"), "bits", "value")
 
 
-def join_longest_prefix(df: DataFrame, ip: str, id_col: str, entries: DataFrame) -> DataFrame:
+def join_longest_prefix(df: DataFrame, ip: str, entries: DataFrame) -> DataFrame:
     """Every row with the value of the longest network that holds its address, or null.
 
-    An address has one network of each length that occurs in the map, so this is
-    an equi-join on (net, bits) and not a range join.
+    An address has one network of each length that occurs in the map, at most 33,
+    so these are equi-joins on the network's number, longest first, and no range
+    join. Networks that occur twice give the greater value.
     """
-    nets = small(prefixes(entries))
-    lengths = [r["bits"] for r in nets.select("bits").distinct().orderBy("bits").limit(33).collect()]
+    nets = prefixes(entries).groupBy("bits", "net").agg(F.max("value").alias("value"))
+    lengths = [r["bits"] for r in nets.select("bits").distinct().orderBy(F.col("bits").desc()).limit(33).collect()]
+    columns = df.columns
     number = ip_number(F.col(ip))
-    keys = F.array(*[F.struct(F.lit(b).alias("bits"), (number - F.pmod(number, F.lit(1 << (32 - b)))).alias("net")) for b in lengths])
-    met = df.select(id_col, F.explode(keys).alias("k")).select(id_col, "k.bits", "k.net").join(nets, ["net", "bits"])
-    best = met.groupBy(id_col).agg(F.max_by("value", "bits").alias("value"))
-    return df.join(best, id_col, "left")
+    for b in lengths:
+        one = nets.filter(F.col("bits") == b).select(F.col("net").alias("__net"), F.col("value").alias(f"__{b}"))
+        df = df.withColumn("__net", number - F.pmod(number, F.lit(1 << (32 - b)))).join(small(one), "__net", "left").drop("__net")
+    return df.select(*columns, (F.coalesce(*[F.col(f"__{b}") for b in lengths], F.lit(None).cast("string"))).alias("value"))
 
 
 def parse_value(value: Column) -> dict[str, Column]:

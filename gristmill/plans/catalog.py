@@ -220,7 +220,7 @@ def map_networks(spark, sf_dir):
     b, d, c = F.col("user_id") % 4, F.col("user_id") % 256, F.floor(F.col("user_id") / 3) % 3
     ip = F.concat_ws(".", F.when(b == 3, F.lit("192.168")).otherwise(F.concat(F.lit("10."), b.cast("string"))), c.cast("string"), d.cast("string"))
     rows = read(spark, sf_dir, "events").select("event_id", ip.alias("ip"))
-    return maps.join_longest_prefix(rows, "ip", "event_id", spark.createDataFrame(_NETS, "key string, value string")).select("event_id", "ip", F.col("value").alias("net"))
+    return maps.join_longest_prefix(rows, "ip", spark.createDataFrame(_NETS, "key string, value string")).select("event_id", "ip", F.col("value").alias("net"))
 
 
 # --- Bayes and fuzzy storage -----------------------------------------------------------------

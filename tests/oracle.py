@@ -40,4 +40,4 @@ def differences(spark_df, sql: str, con: duckdb.DuckDBPyConnection) -> list:
     a, b = rows(got), rows(want)
     if len(a) != len(b):
         return [len(a), len(b), [x for x in a if x not in set(b)][:3], [x for x in b if x not in set(a)][:3]]
-    return [(x, y) for x, y in zip(a, b, strict=True) if x != y and not all(p == q or (p[0] == q[0] == 2 and abs(p[1] - q[1]) <= 1e-4 * max(1, abs(q[1]))) for p, q in zip(x, y, strict=True))][:3]
+    return [(x, y) for x, y in zip(a, b, strict=True) if x != y and not all(p == q or (p[0] == q[0] == 2 and abs(p[1] - q[1]) <= 1e-6 * max(1, abs(q[1]))) for p, q in zip(x, y, strict=True))][:3]

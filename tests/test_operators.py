@@ -25,7 +25,7 @@ def test_ip_numbers(spark):
 def test_longest_prefix(spark):
     nets = spark.createDataFrame([("10.0.0.0/8", "a"), ("10.1.0.0/16", "b"), ("bad", "c")], "key string, value string")
     rows = spark.createDataFrame([(1, "10.1.2.3"), (2, "10.2.2.3"), (3, "11.0.0.1"), (4, None)], "id long, ip string")
-    got = {r.id: r.value for r in maps.join_longest_prefix(rows, "ip", "id", nets).collect()}
+    got = {r.id: r.value for r in maps.join_longest_prefix(rows, "ip", nets).collect()}
     assert got == {1: "b", 2: "a", 3: None, 4: None}
 
 
