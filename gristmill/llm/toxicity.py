@@ -91,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", kept_features: int = 4000, sample_rows: int = 8000, smoothing: float = 1.0, l2: float = 2.0) -> ToxicModel:
-    """Counts over all labelled rows; the regression on ``sample_rows`` of them, by least id hash (more only where rows repeat an id).
+    """Counts over all labelled rows; the regression on ``sample_rows`` of them, by least id hash (up to twice as many where rows repeat an id).
 
     ``kept_features`` have weights of their own, all others one in common. The
     2**BITS counts fit the driver whatever the input's size. No labelled rows: a
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     hashes = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(sample_rows)
     cut = hashes.agg(F.max("h")).first()[0]
     near = rows.filter(F.xxhash64("id") <= cut)
-    got = near.select("text", "y").mapInArrow(picked, "y int, x array<int>, rest double").toArrow()
+    got = near.select("text", "y").mapInArrow(picked, "y int, x array<int>, rest double").limit(2 * sample_rows).toArrow()
     y = got.column("y").to_numpy().astype(float)
     lists = got.column("x").combine_chunks()
     x = lists.flatten().to_numpy()
