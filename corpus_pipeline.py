@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +66,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents, and their index read back from the files; null ids come first."""
+    import public_tokenizers  # here, so that the other queries do not need the package
+
     uri, manifest = tokenfile.write(docs, public_tokenizers.path("word_bpe_49k.json"))
     return tokenfile.read(uri, manifest)
 
