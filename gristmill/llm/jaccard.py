@@ -264,14 +264,16 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = settle(sets.filter("rep != last").drop("last"))
     shared = F.broadcast(shared) if shared.count() <= COPIES_BROADCAST else shared
     copies = settle(known.join(shared, ["n", "h1", "h2"]).filter("id != rep").select("id", "rep"))
-    few = copies.count() <= COPIES_BROADCAST
-    alone = docs.filter("id is not null and text is not null").join(F.broadcast(copies.select("id")) if few else copies.select("id"), "id", "left_anti").select("id", "text")
+    # An id that repeats may copy one set and represent another: only ids all of whose rows are copies leave the search.
+    gone = settle(copies.groupBy("id").agg(F.count("*").alias("rows")).join(known.groupBy("id").agg(F.count("*").alias("rows")), ["id", "rows"]).select("id"))
+    gone = F.broadcast(gone) if gone.count() <= COPIES_BROADCAST else gone
+    alone = docs.filter("id is not null and text is not null").join(gone, "id", "left_anti").select("id", "text")
 
     by_sig = Window.partitionBy("sig")
     groups = alone.mapInArrow(_sign(width, plan), "sig long, id long").select("sig", "id", F.min("id").over(by_sig).alias("hub"), F.max("id").over(by_sig).alias("far")).filter("hub != far").drop("far")
     groups = settle(groups.distinct())
     # Copies keep their set's sketch under the representative's id.
-    vecs = known.join(F.broadcast(copies.select("id")) if few else copies.select("id"), "id", "left_anti").select("id", "n", "vec")
+    vecs = known.join(gone, "id", "left_anti").select("id", "n", "vec")
     star = groups.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     star = (
         star.join(vecs.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("vec").alias("vec_a")), "a")

@@ -49,6 +49,15 @@ def test_jaccard(docs, empty):
     assert jaccard.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_of_an_id_with_two_texts(spark):
+    """Id 2 copies one text and is the least id of another, whose near copy is found all the same."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:59] + ["other"])
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, " ".join(words)), (4, " ".join(words)), (5, near), (6, "h i j k l m n")]
+    got = {(r.id, r.component_id) for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (4, 1), (5, 1), (6, 6)}
+
+
 def test_decontamination(spark, docs, empty):
     bench = spark.createDataFrame([(1, "a b c lazy dog again and again quick brown fox jumps over the lazy dog"), (2, None), (3, ""), (None, "x"), (4, LONG[:200])], "item_id long, text string")
     got = {r.doc_id: r["items"] for r in decontaminate.decontaminate(docs, bench).collect()}
