@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, langid, mixing, orderhash, repeats, secrets, tokenfile, toxicity, urlfilter
+from gristmill.llm import bytepair, decontaminate, langid, mixing, orderhash, repeats, secrets, tokenfile, toxicity, urlfilter
 from gristmill.llm.common import held_out, shared_dir, table
 from gristmill.llm.jaccard import jaccard_classes
 from gristmill.llm.oracle import ORACLE  # noqa: F401  read by the entry point
@@ -81,6 +81,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, spark.createDataFrame(URL_RULES, urlfilter.RULE_SCHEMA)).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bytepair.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    back = bytepair.decode(coded, path, pattern)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -92,4 +101,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_token_ids": op9_token_ids,
     "op10_url_filter": op10_url_filter,
+    "op11_byte_bpe": op11_byte_bpe,
 }

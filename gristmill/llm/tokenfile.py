@@ -37,13 +37,14 @@ MANIFEST = "part int, name string, docs long, tokens long"
 REMEMBERED = 250_000
 
 
-def _class(start: str) -> str:
+def letters_below_180(start: str) -> str:
+    """Code points below U+0180 whose category begins so, for use in a character class."""
     return "".join(re.escape(chr(p)) for p in range(0x180) if unicodedata.category(chr(p))[0] == start)
 
 
-_SPACES = r"\t-\r \x85\xa0"
+spaces_below_180 = r"\t-\r \x85\xa0"
 #: The vocabulary's own pre-tokenisation for lower-case text below U+0180, where it is plain.
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACES}{_class('L')}{_class('N')}]+")
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters_below_180('L')}]+|[{letters_below_180('N')}]|[^{spaces_below_180}{letters_below_180('L')}{letters_below_180('N')}]+")
 #: What a tokenizer file must say for its pieces to be those; any other one encodes texts whole.
 _PRE_TOKENIZER = [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True), ("ByteLevel", None, None, None)]
 _NORMALIZER = [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
