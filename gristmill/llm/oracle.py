@@ -66,4 +66,20 @@ pur AS (SELECT host, template, (sum(bad) + 4.0 * max(prior)) / (sum(known) + 4.0
 SELECT u.page_id, u.host, u.path, t.rule, coalesce(t.label, CASE WHEN pur.purity > 0.75 THEN 'block' ELSE 'allow' END) AS verdict, t.template, pur.purity FROM u JOIN t USING (host, path) JOIN pur ON pur.host = t.host AND pur.template = t.template"""
 )
 
-ORACLE = {"op5_secret_scan": SECRETS, "op8_mixing": MIXING, "op10_url_filter": URLS}
+#: Every pair of sources by every kept term, without vectors.
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+w AS (SELECT lang, term, n, sum(n) OVER (PARTITION BY lang) AS total FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(s.total, 0) + v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (w.n + 1)) // (w.total + v)::HUGEINT AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN w USING (lang, term) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM v)),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 200"""
+
+ORACLE = {"op5_secret_scan": SECRETS, "op8_mixing": MIXING, "op10_url_filter": URLS, "op13_source_divergence": DIVERGENCE}
