@@ -90,7 +90,7 @@ class PairTable:
 COMMON_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _L, _N, _S = letters_below_180("L"), letters_below_180("N"), spaces_below_180
 _COMMON_BELOW_180 = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_ABOVE_180 = re.compile("[^\x00-\u017f]")
+ABOVE_180 = re.compile("[^\x00-\u017f]")
 #: Stands for a code point that is neither letter nor number nor white space.
 _OTHER = "\ue000"
 
@@ -123,7 +123,7 @@ class Cutter:
 
     def spans(self, text: str) -> Iterator[str]:
         """The pieces of a text, one after the other."""
-        if self.quick and not _ABOVE_180.search(text):
+        if self.quick and not ABOVE_180.search(text):
             return (m.group() for m in self.quick.finditer(text))
         doubtful = [c for c in set(text) if unicodedata.category(c) == "Cn" and self.counts.match(c)]
         odd = {ord(c): _OTHER for c in doubtful if self._is_other(c)}
@@ -132,7 +132,7 @@ class Cutter:
         return (text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(odd)))
 
     def cut(self, text: str) -> list[str]:
-        if self.quick and not _ABOVE_180.search(text):
+        if self.quick and not ABOVE_180.search(text):
             return self.quick.findall(text)
         return list(self.spans(text))
 

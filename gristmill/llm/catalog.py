@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import bytepair, decontaminate, divergence, langid, mixing, orderhash, repeats, secrets, tokenfile, toxicity, urlfilter
+from gristmill.llm import alignment, bytepair, decontaminate, divergence, langid, mixing, orderhash, repeats, secrets, tokenfile, toxicity, urlfilter
 from gristmill.llm.common import held_out, shared_dir, table
 from gristmill.llm.jaccard import jaccard_classes
 from gristmill.llm.oracle import ORACLE  # noqa: F401  read by the entry point
@@ -90,6 +90,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents, _ = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return documents
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"), least_docs=3, ranks=200)
 
@@ -106,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_ids": op9_token_ids,
     "op10_url_filter": op10_url_filter,
     "op11_byte_bpe": op11_byte_bpe,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_source_divergence": op13_source_divergence,
 }
