@@ -15,10 +15,12 @@ import heapq
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types
 
@@ -34,8 +36,10 @@ WIDTHS = (4, 8, 16, 32, 64, 128, 256)
 ELEMENTS = 1_000_000
 #: Pieces of a generation. A worker remembers two: when one is full the older is let go.
 REMEMBERED = 250_000
-#: Pieces and ids that are worked on at a time.
-AT_ONCE = 500_000
+#: Pieces of a long text, and ids, that are worked on at a time.
+AT_ONCE = 100_000
+#: Bytes of a slice of texts or ids.
+SLICE = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -142,7 +146,6 @@ class ByteBPE:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
-        self.table = PairTable(ranks)
         self.cutter = Cutter(pattern)
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.uint32)
         tokens = [b""] * (max(ranks.values()) + 1)
@@ -154,6 +157,11 @@ class ByteBPE:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def table(self) -> PairTable:
+        """Made at the first merge: decoding does without."""
+        return PairTable(self.ranks)
+
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of every piece as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
@@ -243,8 +251,8 @@ class ByteBPE:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text as little-endian unsigned 32-bit integers; a null text has none."""
         out = []
-        for lo, hi in slices(texts):
-            if hi - lo == 1 and len(texts[lo] or "") > 4 * AT_ONCE:
+        for lo, hi in slices(texts, SLICE):
+            if hi - lo == 1 and len(texts[lo] or "") > SLICE:
                 out.append(self._encode_long(texts[lo]))
                 continue
             cut = [self.cutter.cut(t) if t else [] for t in texts[lo:hi]]
@@ -279,19 +287,22 @@ def load(path: str, pattern: str) -> ByteBPE:
     return _loaded[path, pattern]
 
 
-def _with_column(df: DataFrame, source: str, target: str, kind: types.DataType, make: Callable[[list], list]) -> DataFrame:
-    """``df`` with ``target`` made of ``source``, slice by slice; a column of that name is replaced."""
+def _with_column(df: DataFrame, source: str, target: str, make: Callable[[list], list]) -> DataFrame:
+    """``df`` with bytes ``target`` made of ``source``, slice by slice; a column of that name is replaced."""
     kept = [c for c in df.columns if c != target]
-    arrow = pa.large_binary() if isinstance(kind, types.BinaryType) else pa.large_string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values = b.column(len(kept)).to_pylist()
-            for lo, hi in slices(values):
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(len(kept))), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < b.num_rows:
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
                 own = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*own.columns[: len(kept)], pa.array(make(values[lo:hi]), arrow).cast(pa.binary() if arrow == pa.large_binary() else pa.string())], [*kept, target])
+                yield pa.RecordBatch.from_arrays([*own.columns[: len(kept)], pa.array(make(own.column(len(kept)).to_pylist()), pa.binary())], [*kept, target])
+                lo = hi
 
-    schema = types.StructType([df.schema[c] for c in kept] + [types.StructField(target, kind)])
+    schema = types.StructType([df.schema[c] for c in kept] + [types.StructField(target, types.BinaryType())])
     return df.select(*(df[c] for c in kept), df[source].alias("__source")).mapInArrow(run, schema)
 
 
@@ -303,7 +314,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     itself: repeated rows, null ids and ties are kept as they are, an empty
     table stays empty, and a column that is already called ``ids_col`` is replaced.
     """
-    return _with_column(docs, text_col, ids_col, types.BinaryType(), lambda texts: load(ranks_path, pattern).encode(texts))
+    return _with_column(docs, text_col, ids_col, lambda texts: load(ranks_path, pattern).encode(texts))
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
@@ -312,4 +323,4 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids"
     Ids that the vocabulary lacks are an error. A column that is already called
     ``bytes_col`` is replaced.
     """
-    return _with_column(coded, ids_col, bytes_col, types.BinaryType(), lambda ids: [load(ranks_path, pattern).decode(x) for x in ids])
+    return _with_column(coded, ids_col, bytes_col, lambda ids: [load(ranks_path, pattern).decode(x) for x in ids])
