@@ -200,16 +200,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     texts are all above the bound learns from its shortest one. Every language
     keeps its whole sample, however short another's is. No such row: None.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & ~held_out("id"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & ~held_out("id") & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("id"))
     # Rows that come into question at all: some twenty times the sample of a large language, by hash alone.
     share = F.least(F.lit(1.0), F.lit(20.0 * docs_per_language) / F.col("n"))
-    known = rows.filter(F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).select("lang", F.greatest(F.col("least").cast("double"), (share * 2 - 1) * 2.0**63).alias("cut"))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).select("lang", F.greatest(F.col("least").cast("double"), (share * 2 - 1) * 2.0**63).alias("cut"))
     long = F.length("text") > chars_per_language
     order = Window.partitionBy("lang").orderBy("long", "size", "h", "id", "text")
     sample = (
         rows.join(F.broadcast(known), "lang")  # one row a language
-        .filter((F.col("h").cast("double") <= F.col("cut")) & F.col("text").rlike(r"\p{L}"))
+        .filter(F.col("h").cast("double") <= F.col("cut"))
         .withColumns({"long": long, "size": F.when(long, F.length("text")).otherwise(0)})
         .withColumn("r", F.row_number().over(order))
         .filter(F.col("r") <= docs_per_language)

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from gristmill.llm.langid import LanguageModel
+from gristmill.llm.langid import LanguageModel, train
 
 
 def _texts(alphabet, seed, n=60, words=60):
@@ -36,3 +36,8 @@ def test_every_letter_counts():
         assert _right(model, k, texts) == 1
         if k != "greek":  # two small letters share one capital
             assert (model.rates(texts) == model.rates([t.upper() for t in texts])).all()
+
+
+def test_labels_on_rows_without_letters_do_not_crowd_out_a_language(spark):
+    rows = [(i, "12 34", "xx") for i in range(4000)] + [(i, "kurzer satz", "xx") for i in (4001, 4003, 4007, 4011)] + [(i, "the cat sat", "en") for i in range(5000, 5020)]
+    assert train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["en", "xx"]
