@@ -11,8 +11,8 @@ def _kind(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
     FROM d WHERE regexp_matches(text, '{pattern}'))) WHERE length(kept[i]) >= {least}"""
 
 
-_LOGIN = r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]+@"
-_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+_LOGIN = r"[a-z][a-z0-9+.-]{0,30}://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]+@"
+_TOKEN = r"eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 SECRETS = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 s AS ({_kind(0, "assign", _ASSIGN, 2, 6)} UNION ALL {_kind(1, "access", "AKIA[A-Z0-9]+", 0, 20)} UNION ALL {_kind(2, "hex", "[0-9a-f]{24,}", 0, 24)}
   UNION ALL {_kind(3, "key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0)} UNION ALL {_kind(4, "jwt", _TOKEN, 0, 0)} UNION ALL {_kind(5, "login", _LOGIN, 0, 0)}),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,33 +38,30 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
 )
-#: Further kinds, ranked after those above.
+#: Further kinds, ranked after those above. What may begin anywhere in a long word (a scheme,
+#: the first part of a token) is bounded, so that time stays linear in the length of a text.
 MORE_RULES = (
     Rule("key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("login", 1, r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]+@"),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,1000}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}"),
+    Rule("login", 2, r"[a-z][a-z0-9+.-]{0,30}://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]+@"),
 )
 LEDGER_SCHEMA = "blob string, rule string, spans array<struct<start:bigint,end:bigint>>"
-_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def _spans(text: str, rule: Rule, hits: str, kept: str) -> Column:
-    """Start and end of all matches in code points, from the text between the matches.
+def _lengths(values: Column) -> Column:
+    return F.transform(values, lambda x: F.length(x).cast("long"))
+
+
+def _matches(text: str, rule: Rule) -> Column:
+    """Array of (gap, hit, kept): the lengths, in code points, of each match, of the text before it and of its group.
 
     Java's matcher finds the same leftmost non-overlapping matches when it
-    splits the text, so the i-th match starts after i + 1 gaps and i matches.
+    splits the text, so the i-th match follows i + 1 gaps and i matches.
     """
+    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     gaps = F.slice(F.split(F.col(text), rule.pattern, -1), 1, F.size(hits))
-    parts = F.arrays_zip(gaps.alias("gap"), F.col(hits).alias("hit"), F.col(kept).alias("kept"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        found = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["kept"]) >= rule.least, F.array_append(acc["spans"], found)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.when(F.size(hits) > 0, F.aggregate(parts, zero, step)["spans"]).otherwise(F.array().cast(_SPANS))
+    return F.arrays_zip(_lengths(gaps).alias("gap"), _lengths(hits).alias("hit"), _lengths(kept).alias("kept"))
 
 
 def with_blob(versions: DataFrame, text_col: str = "text") -> DataFrame:
@@ -108,14 +105,14 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     else:
         seen = ledger.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
-    hits = {}
-    for i, r in enumerate(rules):
-        due = F.array_contains("todo", r.key)
-        hits[f"hit{i}"] = F.when(due, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0)))
-        hits[f"kept{i}"] = F.when(due, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))) if r.group else F.col(f"hit{i}")
-    found = todo.withColumns({k: v for k, v in hits.items() if k.startswith("hit")}).withColumns({k: v for k, v in hits.items() if k.startswith("kept")})
-    entries = F.array(*[F.struct(F.lit(r.key).alias("rule"), _spans("text", r, f"hit{i}", f"kept{i}").alias("spans")) for i, r in enumerate(rules)])
-    return found.select("blob", F.explode(F.filter(entries, lambda e: F.array_contains("todo", e["rule"]))).alias("e")).select("blob", "e.rule", "e.spans")
+    least = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.least)])
+    entries = F.array(*[F.when(F.array_contains("todo", r.key), F.struct(F.lit(r.key).alias("rule"), _matches("text", r).alias("matches"))) for r in rules])
+    each = todo.select("blob", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("blob", "e.rule", F.posexplode_outer("e.matches").alias("place", "m"))
+    # Running lengths over the matches of one text; everything is dealt by blob already.
+    upto = Window.partitionBy("blob", "rule").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum(F.col("m.gap") + F.col("m.hit")).over(upto)).withColumn("start", F.col("end") - F.col("m.hit"))
+    held = F.when(F.col("m.kept") >= least[F.col("rule")], F.struct("start", "end"))
+    return placed.groupBy("blob", "rule").agg(F.sort_array(F.collect_list(held)).alias("spans"))
 
 
 def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
@@ -131,9 +128,10 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     kind = F.create_map(*[F.lit(x) for key, (_, name) in rank.items() for x in (key, name)])
     per_blob = (
         ledger.filter(F.col("rule").isin(list(rank)) & (F.size("spans") > 0))
+        .dropDuplicates(["blob", "rule"])  # a pair that was added twice has the same spans
         .select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[F.col("rule")].alias("rank"), kind[F.col("rule")].alias("kind"), s["end"].alias("end"))).alias("found"))
         .groupBy("blob")
-        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"))
+        .agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("found"))
     )
     paths = with_blob(versions.drop("blob", "found"), text_col).drop(text_col)
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
