@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 from typing import NamedTuple
 
@@ -40,6 +40,8 @@ PORTION, LINKS = 200_000, 1_000_000
 LARGE_GROUP = 4_096
 #: Rows of the table of linked id pairs that are broadcast at most, about 40 bytes each; beyond it is a join by shuffle.
 PAIRS_BROADCAST = 500_000
+#: Characters beyond which a text is cut piece by piece, and new pieces that are encoded as one text.
+LONG, TOGETHER = 500_000, 1_000
 EVENTS = "row long, doc_id long, block long, side int, at long, ids binary, sizes binary"
 
 
@@ -56,8 +58,11 @@ class Side:
         self.known: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
-    def pieces(self, text: str) -> Iterator[str] | None:
-        """Pieces that the tokenizer treats independently; None if the text must stay whole."""
+    #: Tells pieces that stay pieces when others that open with a space follow.
+    opens_and_ends: Callable[[str], object]
+
+    def pieces(self, text: str) -> list[str] | Iterator[str] | None:
+        """Pieces that the tokenizer treats independently, of a long text one by one; None if the text must stay whole."""
         raise NotImplementedError
 
     def ids(self, texts: list[str]) -> list[list[int]]:
@@ -71,32 +76,44 @@ class Side:
     def encode(self, texts: list[str]) -> list[bytes | None]:
         """Ids of each text as little-endian integers; None if the tokens do not give back its bytes."""
         cut = [self.pieces(t) for t in texts]
-        long_ = [c is not None and len(t) > AT_ONCE * 5 for c, t in zip(cut, texts, strict=True)]
-        lists = [None if c is None or far else list(c) for c, far in zip(cut, long_, strict=True)]
-        self._learn([x for x in lists if x])
+        self._learn([c for c in cut if isinstance(c, list)])
         out = []
-        for t, c, own, far in zip(texts, cut, lists, long_, strict=True):
-            if c is None:
+        for t, own in zip(texts, cut, strict=True):
+            if own is None:
                 out.append(self.checked(t, self.ids([t])[0]))
-            elif far:
-                out.append(self._encode_long(c))
             else:
-                out.append(self._joined(own))
+                out.append(self._joined(own) if isinstance(own, list) else self._encode_long(own))
         return out
 
     def _learn(self, lists: list[list[str]]) -> None:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         fresh = set().union(*lists).difference(self.known)
-        again = [p for p in fresh if p in self.older]
-        self.known.update((p, self.older[p]) for p in again)
+        again = fresh.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
         new = list(fresh.difference(again))
-        self.known.update((p, self.checked(p, ids)) for p, ids in zip(new, self.ids(new), strict=True))
+        plain = list(filter(self.opens_and_ends, new))
+        for lo in range(0, len(plain), TOGETHER):
+            self._learn_together(plain[lo : lo + TOGETHER])
+        rest = [p for p in new if p not in self.known]
+        self.known.update((p, self.checked(p, ids)) for p, ids in zip(rest, self.ids(rest), strict=True))
+
+    def _learn_together(self, pieces: list[str]) -> None:
+        """Encode pieces that each open with a space as one text; kept if a token ends where each of them does."""
+        text = "".join(pieces)
+        raw = self.checked(text, self.ids([text])[0])
+        if raw is None:
+            return
+        ends = np.cumsum(self.lengths[np.frombuffer(raw, dtype=self.id_type)], dtype=np.int64)
+        stop = np.cumsum([len(p.encode()) for p in pieces])
+        at = np.searchsorted(ends, stop)
+        if (ends[at] == stop).all():
+            cuts = ((at + 1) * self.id_type.itemsize).tolist()
+            self.known.update((p, raw[s:e]) for p, s, e in zip(pieces, [0, *cuts[:-1]], cuts, strict=True))
 
     def _joined(self, pieces: list[str]) -> bytes | None:
-        parts = list(map(self.known.__getitem__, pieces))
         try:
-            return b"".join(parts)
+            return b"".join(map(self.known.__getitem__, pieces))
         except TypeError:  # a piece whose tokens do not give it back
             return None
 
@@ -131,10 +148,12 @@ class ByteLevelSide(Side):
         self.cutter = Cutter(COMMON_PATTERN) if plain else None
         super().__init__()
 
-    def pieces(self, text: str) -> Iterator[str] | None:
+    opens_and_ends = staticmethod(re.compile(r" [^\W\d_]+").fullmatch)
+
+    def pieces(self, text: str) -> list[str] | Iterator[str] | None:
         if self.cutter is None or ABOVE_180.search(text):
             return None
-        return iter(self.cutter.cut(text)) if len(text) <= AT_ONCE * 5 else self.cutter.spans(text)
+        return self.cutter.cut(text) if len(text) <= LONG else self.cutter.spans(text)
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -144,6 +163,7 @@ class PieceSide(Side):
     """A sentencepiece model; it adds the leading space itself."""
 
     _PIECES = re.compile(" *[^ ]+| +")
+    opens_and_ends = staticmethod(re.compile(" +[^ ]+").fullmatch)
 
     def __init__(self, path: str):
         import sentencepiece
@@ -156,8 +176,10 @@ class PieceSide(Side):
         self.by_word = not any("▁" in n.lstrip("▁") for n in names)
         super().__init__()
 
-    def pieces(self, text: str) -> Iterator[str] | None:
-        return (m.group() for m in self._PIECES.finditer(text)) if self.by_word else None
+    def pieces(self, text: str) -> list[str] | Iterator[str] | None:
+        if not self.by_word:
+            return None
+        return self._PIECES.findall(text) if len(text) <= LONG else (m.group() for m in self._PIECES.finditer(text))
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         coded = self.model.encode([t[1:] for t in texts], num_threads=1) if texts else []
