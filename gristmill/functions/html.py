@@ -59,8 +59,8 @@ def link_kind(href: Column) -> Column:
 
 def is_phished(href: Column, shown: Column) -> Column:
     """The shown text names a domain, and the link goes to another registered domain."""
-    claimed = F.lower(F.regexp_extract(shown, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?:[/?#:].*)?$", 1))
-    return (claimed != "") & (T.parse_host(href) != "") & (T.registered_domain(claimed) != T.registered_domain(T.parse_host(href)))
+    claimed = F.lower(F.regexp_extract(shown, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,})(?:[/?#:].*)?$", 1))
+    return (claimed != "") & ~claimed.contains("..") & (T.parse_host(href) != "") & (T.registered_domain(claimed) != T.registered_domain(T.parse_host(href)))
 
 
 def hidden_elements(html: Column) -> Column:

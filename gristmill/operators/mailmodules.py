@@ -49,7 +49,7 @@ RULES: list[MailRule] = [
     _match("URL_SUSPICIOUS_TLD", 3.0, "html", _LINK + f"[^/>\\x22]+[.]({DOUBTFUL_TLDS})[/:\\x22]"),
     _match("URL_MULTIPLE_AT", 3.0, "html", _LINK + "[^/>\\x22]*@[^/>\\x22]*@"),
     _match("URL_BACKSLASH_PATH", 2.0, "html", _LINK + "[^>\\x22]*\\\\\\\\"),
-    _match("URL_EXCESSIVE_DOTS", 2.0, "html", _LINK + "([^/.>\\x22]*[.]){6,}"),
+    _match("URL_EXCESSIVE_DOTS", 2.0, "html", _LINK + "[^/.>\\x22]*[.][^/.>\\x22]*[.][^/.>\\x22]*[.][^/.>\\x22]*[.][^/.>\\x22]*[.][^/.>\\x22]*[.]"),
     _match("URL_VERY_LONG", 1.5, "html", _LINK + "[^>\\x22]{500,}"),
     _match("URL_HAS_PORT", 0.5, "html", _LINK + "[^/>\\x22]+:[0-9]+[/\\x22]"),
 ]

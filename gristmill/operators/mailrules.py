@@ -125,7 +125,7 @@ RULES: list[MailRule] = [
     _plain("REPLYTO_EQ_TO_ADDR", 5.0, "reply_addr <> '' AND lower(reply_addr) = lower(to_addr)"),
     _plain("REPLYTO_DOM_EQ_TO_DOM", 0.0, f"reply_addr <> '' AND to_addr <> '' AND {_same_domain('reply_addr', 'to_addr')}"),
     _plain("REPLYTO_DOM_NEQ_TO_DOM", 0.0, f"reply_addr <> '' AND to_addr <> '' AND {_same_domain('reply_addr', 'to_addr', False)}"),
-    MailRule("REPLYTO_INVALID", 1.0, lambda d: f"coalesce(reply_addr <> '', false) AND NOT {d.m('reply_addr', '^[A-Za-z0-9._+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)+$')}"),
+    MailRule("REPLYTO_INVALID", 1.0, lambda d: f"coalesce(reply_addr <> '', false) AND NOT ({d.m('reply_addr', '^[A-Za-z0-9._+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*[.][A-Za-z0-9.-]*[A-Za-z0-9-]$')} AND NOT {d.m('reply_addr', '@.*[.][.]')})"),
     _match("REPLYTO_LOCALPART_LONG", 2.0, "reply_addr", "^[^@]{65,}@"),
     _match("REPLYTO_DOMAIN_LONG", 2.0, "reply_addr", "@[^@]{256,}$"),
     MailRule("FREEMAIL_REPLYTO_NEQ_FROM_DOM", 3.0, lambda d: f"{d.m('reply_addr', f'(?i)@({FREEMAIL})$')} AND {d.m('from_addr', f'(?i)@({FREEMAIL})$')} AND {_same_domain('reply_addr', 'from_addr', False)}"),

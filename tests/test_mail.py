@@ -34,3 +34,20 @@ def test_rule_is_met_by_its_case_alone(found, symbol):
 
 def test_a_message_of_nulls_lacks_headers(found):
     assert {"MISSING_FROM", "MISSING_TO", "MISSING_DATE", "MISSING_MID", "RDNS_NONE", "MISSING_ESSENTIAL_HEADERS"} <= found["nothing"]
+
+
+def test_no_rule_fails_on_very_long_fields(spark):
+    """Patterns run without recursion: long hosts, addresses and words end no job."""
+    long = {"html": '<a href="http://' + "a." * 100_000 + 'x/">' + "b." * 100_000 + "</a>", "reply_addr": "x@" + "a." * 100_000 + "a", "reply_to": "x@" + "a." * 100_000 + "a", "plain": "x" * 200_000 + " " + "a.b@" * 50_000, "subject": "= " * 100_000, "from_name": "a " * 100_000, "mid": "<" + "a." * 100_000 + "@x>", "ctype": "a/b; " * 50_000, "raw": CLEAN["raw"] + "Received: " + "by x " * 50_000}
+    schema = ", ".join(f"{c} {'int' if c in INTS else 'boolean' if c == 'last_tls' else 'string'}" for c in mailrules.COLUMNS)
+    m = CLEAN | long
+    rows = spark.createDataFrame([("long", *(m.get(c) for c in mailrules.COLUMNS))], f"name string, {schema}")
+    found = {r.symbol for r in mailrules.findings(rows, "name", mailrules.RULES + mailmodules.RULES).collect()}
+    assert "URL_EXCESSIVE_DOTS" in found and "REPLYTO_INVALID" not in found
+
+
+def test_doubled_dots_make_an_address_invalid(spark):
+    schema = ", ".join(f"{c} {'int' if c in INTS else 'boolean' if c == 'last_tls' else 'string'}" for c in mailrules.COLUMNS)
+    made = [(a, *((CLEAN | {"reply_addr": a, "reply_to": a}).get(c) for c in mailrules.COLUMNS)) for a in ("a@b.c", "a..b@c.d", "a@b..c", "a@.b.c", "a@b.c.", "a@b", "a@-.c")]
+    found = mailrules.findings(spark.createDataFrame(made, f"name string, {schema}"), "name", mailrules.RULES).filter("symbol = 'REPLYTO_INVALID'").collect()
+    assert {r.name for r in found} == {"a@b..c", "a@.b.c", "a@b.c.", "a@b"}
