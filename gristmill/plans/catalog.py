@@ -423,4 +423,4 @@ def train_test_split(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.when(fold < 8, "train").otherwise("test").alias("part"))
 
 
-from gristmill.plans import forms, learning, lookup, mail, mailmodules, methods, pages, parts, sequences, tables, texts, web  # noqa: E402, F401 (they register more queries)
+from gristmill.plans import forms, learning, lookup, mail, mailmodules, methods, pages, parts, rules, sequences, tables, texts, web  # noqa: E402, F401 (they register more queries)
