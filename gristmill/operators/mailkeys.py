@@ -106,8 +106,6 @@ TESTS: dict[str, Callable[..., Callable[[Dialect], str]]] = {
     "has_fake_html": lambda: lambda d: f"html IS NOT NULL AND NOT {d.m('html', '(?i)<(html|body)[ >]')}",
     "is_html_balanced": lambda: lambda d: "coalesce(" + " AND ".join(f"(length(html) - length(replace(html, '{a}', ''))) * {len(z)} = (length(html) - length(replace(html, '{z}', ''))) * {len(a)}" for a, z in _TAGS) + ", false)",
     "is_empty_body": lambda: lambda d: "coalesce(plain, '') = '' AND html IS NULL",
-    "is_recipients_sorted": lambda: lambda d: "n_to >= 7 AND n_to_named_addr = n_to",
-    "compare_recipients_distance": lambda most: lambda d: f"coalesce(levenshtein(to_addr, from_addr) <= {most}, false)",
     "has_flag": lambda flag: lambda d: {"authenticated": "user IS NOT NULL", "greylisted": "coalesce(hours < 0, false)"}[flag],
 }
 
