@@ -52,16 +52,15 @@ def _lengths(values: Column) -> Column:
     return F.transform(values, lambda x: F.length(x).cast("long"))
 
 
-def _matches(text: str, rule: Rule) -> Column:
+def _matches(text: str, rule: Rule, hits: str, kept: str) -> Column:
     """Array of (gap, hit, kept): the lengths, in code points, of each match, of the text before it and of its group.
 
     Java's matcher finds the same leftmost non-overlapping matches when it
     splits the text, so the i-th match follows i + 1 gaps and i matches.
     """
-    hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
     gaps = F.slice(F.split(F.col(text), rule.pattern, -1), 1, F.size(hits))
-    return F.arrays_zip(_lengths(gaps).alias("gap"), _lengths(hits).alias("hit"), _lengths(kept).alias("kept"))
+    found = F.arrays_zip(_lengths(gaps).alias("gap"), _lengths(F.col(hits)).alias("hit"), _lengths(F.col(kept)).alias("kept"))
+    return F.when(F.size(hits) > 0, found).otherwise(F.array().cast("array<struct<gap:bigint,hit:bigint,kept:bigint>>"))
 
 
 def with_blob(versions: DataFrame, text_col: str = "text") -> DataFrame:
@@ -106,7 +105,12 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[
         seen = ledger.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
         todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
     least = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.least)])
-    entries = F.array(*[F.when(F.array_contains("todo", r.key), F.struct(F.lit(r.key).alias("rule"), _matches("text", r).alias("matches"))) for r in rules])
+    due = {r: F.array_contains("todo", r.key) for r in rules}
+    # Columns of their own, so that no pattern runs twice.
+    hits = {f"hit{i}": F.when(due[r], F.regexp_extract_all("text", F.lit(r.pattern), F.lit(0))) for i, r in enumerate(rules)}
+    kept = {f"kept{i}": F.when(F.size(f"hit{i}") > 0, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))) if r.group else F.col(f"hit{i}") for i, r in enumerate(rules)}
+    todo = todo.withColumns(hits).withColumns(kept)
+    entries = F.array(*[F.when(due[r], F.struct(F.lit(r.key).alias("rule"), _matches("text", r, f"hit{i}", f"kept{i}").alias("matches"))) for i, r in enumerate(rules)])
     each = todo.select("blob", F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("blob", "e.rule", F.posexplode_outer("e.matches").alias("place", "m"))
     # Running lengths over the matches of one text; everything is dealt by blob already.
     upto = Window.partitionBy("blob", "rule").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
