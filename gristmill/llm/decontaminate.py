@@ -35,6 +35,8 @@ WINDOWS_BROADCAST = 200_000
 LEAST_LITERALS = 3
 #: Added to the number of words, this is the form of windows that hold their very words.
 EXACT = 2
+#: Added to the number of tokens, this is the form of templates that are shorter than a window.
+SHORT = 1_000
 #: Words a worker remembers; it starts afresh beyond that.
 REMEMBERED = 500_000
 
@@ -168,10 +170,10 @@ class _Item:
             self.edge[: literal[0]] = self.edge[literal[-1] + 1 :] = True
 
     def windows(self, form: int) -> Iterator[tuple[int, int, list[int | None]]]:
-        """(word, hash, slots) of the merged (form 0) or word-by-word (form 1) template; a slot at the text's edge or that may be no name is None."""
-        kind = (self.raw if form else self.merged).tolist()
+        """(word, hash, slots) of the merged (form 0 or SHORT + width) or word-by-word (form 1) template; a slot at the text's edge or that may be no name is None."""
+        kind = (self.raw if form == 1 else self.merged).tolist()
         choices = [(k, _PLAIN) if o else (k,) for k, o in zip(kind, self.open.tolist(), strict=True)]
-        if form == 0:
+        if form != 1:
             if kind[0] == _UNIT:
                 choices[0] = (_UNIT, _QTY)
             if kind[-1] == _NUM:
@@ -185,7 +187,7 @@ class _Item:
         known = (~self.open & ~self.edge).tolist()
         marks = _MARK.tolist()
         for p in range(len(kind)):
-            inside = form == 0 and p and kind[p] == kind[p - 1] != _PLAIN and len(choices[p]) == len(choices[p - 1]) == 1
+            inside = form != 1 and p and kind[p] == kind[p - 1] != _PLAIN and len(choices[p]) == len(choices[p - 1]) == 1
             if not inside:
                 for h, slots in self._from(p, form, choices, many, tied, known, marks).items():
                     yield p, h, slots
@@ -199,7 +201,7 @@ class _Item:
                 options = (None,) if i == len(choices) else (option,) if i > p and tied[i] else range(many[i])
                 for o in options:
                     kind = None if o is None else choices[i][min(o, len(choices[i]) - 1)]
-                    if form == 0 and n and kind is not None and kind == last != _PLAIN:
+                    if form != 1 and n and kind is not None and kind == last != _PLAIN:
                         value = (slots[-1] + self.value[i]) & _FULL if known[i] and slots[-1] is not None else None
                         after.append((n, h, literals, last, o, [*slots[:-1], value]))
                     elif n == self.width:
@@ -227,7 +229,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document copies an item if a chain of diagonals, each at most ``shift``
     words from the next, holds at least ``cover`` of the item's windows or
     ``run`` of them, and at least ``consistent`` of its slot pairs agree with a
-    one-to-one mapping. Items that yield no template are matched by their very
+    one-to-one mapping. An item of fewer tokens than ``width``, with at least two
+    placeholders and three literals, is one window of its own length. Items that yield no template are matched by their very
     words, folded and without outer punctuation; below ``shortest`` words they
     say nothing and never match. Null ids and null or empty texts of either side
     match nothing; texts of any length are read whole. Rows that repeat an id are pooled; repeated items count
@@ -252,6 +255,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             got = list(item.windows(form))
                             total = len({p for p, _, _ in got})
                             rows += [(k + lo, form, p, h, total, s) for p, h, s in got]
+                    w = len(_merged(named[a:z], text[a:z])[1])
+                    if len(rows) == found and LEAST_LITERALS + 2 <= w < width and (named[a:z] != _PLAIN).sum() >= 2:
+                        got = list(_Item(value[a:z], named[a:z], maybe[a:z], w).windows(SHORT + w))
+                        rows += [(k + lo, SHORT + w, p, h, len({p for p, _, _ in got}), s) for p, h, s in got]
                     if len(rows) == found and z - a >= shortest:
                         w = min(width, int(z - a))
                         first, h, _ = _windows(value[a:z], np.zeros(z - a, np.int8), text[a:z], np.arange(z - a), w, EXACT + w, False)
@@ -262,7 +269,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     yield pa.record_batch([ids.take(pa.array(row)), pa.array(form, pa.int64()), pa.array(at, pa.int64()), pa.array(mix(np.array(h, dtype=np.uint64)).view(np.int64)), pa.array(total, pa.int64()), held], ["item", "form", "ipos", "h", "total", "islots"])
 
     items = settle(benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).mapInArrow(bench, "item long, form long, ipos long, h long, total long, islots array<long>"))
-    forms = sorted({0, *(r["form"] for r in items.select("form").distinct().collect())})  # width + 2 at most
+    forms = sorted({0, *(r["form"] for r in items.select("form").distinct().collect())})  # 2 * width + 2 at most
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
@@ -289,7 +296,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 maybe = capital & starts & ~_known_names(value, text, capital, starts)
                 for named, literal in ((capital, None), (capital & ~maybe, maybe)):
                     for form in forms:
-                        if form >= EXACT:
+                        if SHORT > form >= EXACT:
                             if literal is None:
                                 first, h, slots = _windows(value, np.zeros(len(value), np.int8), text, np.arange(len(value)), form - EXACT, form)
                                 hit = np.flatnonzero(wanted[(h >> _U(64 - MAP_BITS)).astype(np.int64)])
@@ -298,12 +305,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                                     yield pa.record_batch([ids.take(pa.array(text[word] + lo)), pa.array(word - begin[text[word]]), pa.array(h[hit].view(np.int64)), slots(hit)], ["doc", "pos", "h", "dslots"])
                             continue
                         read = np.where(named, _NAME, kind)
-                        read, at = (read, np.arange(len(read))) if form else _merged(read, text)
-                        first, h, slots = _windows(value, read, text, at, width, form)
+                        read, at = (read, np.arange(len(read))) if form == 1 else _merged(read, text)
+                        wide = form - SHORT if form >= SHORT else width
+                        first, h, slots = _windows(value, read, text, at, wide, form)
                         hit = np.flatnonzero(wanted[(h >> _U(64 - MAP_BITS)).astype(np.int64)])
                         if literal is not None and len(hit):
                             so_far = np.cumsum(np.append(0, literal[at]))
-                            hit = hit[so_far[first[hit] + width] > so_far[first[hit]]]
+                            hit = hit[so_far[first[hit] + wide] > so_far[first[hit]]]
                         if len(hit):
                             word = at[first[hit]]
                             yield pa.record_batch([ids.take(pa.array(text[word] + lo)), pa.array(word - begin[text[word]]), pa.array(h[hit].view(np.int64)), slots(hit)], ["doc", "pos", "h", "dslots"])

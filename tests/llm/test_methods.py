@@ -237,3 +237,10 @@ def test_paths_of_any_depth_are_read(spark):
     got = judged(spark, urls, rules)
     assert got[f"http://deep.io/{deep}/bad/333"].verdict == "block" and got[f"http://deep.io/{deep}/good/333"].verdict == "allow"
     assert got[urls[-1]].verdict == "allow"
+
+
+def test_short_questions_with_other_numbers(spark):
+    items = ["What is 5 times 7 plus 2?", "Add 3 to 4 now please", "Who wrote the Odyssey"]
+    got = found(spark, items, "so: what is 8 times 9 plus 4? tell me", "What is 5 times 7 plus 2?", "what is 8 times 9 minus 4", "add 9 to 12 now please", "who wrote the Iliad", "he asked who wrote the Odyssey then", "add 9 to many now please")
+    assert got == {0: [0], 1: [0], 3: [1], 5: [2]}
+
