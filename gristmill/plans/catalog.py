@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import expr, selectors
 from gristmill.functions import text as T
-from gristmill.operators import bayes, fuzzy, maps, scoring, state, stats
+from gristmill.operators import bayes, buckets, fuzzy, maps, scoring, state, stats
 from gristmill.plans.registry import ORACLE, QUERIES, documents, query, read
 
 FLAGSHIP = "action_scores"
@@ -297,16 +297,26 @@ def fuzzy_match(spark, sf_dir):
 _EVENTS_SQL = "e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
 
 
-@query(f"""WITH RECURSIVE {_EVENTS_SQL}, z AS (
+_LIMITS_SQL = f"""WITH RECURSIVE {_EVENTS_SQL}, z AS (
   SELECT event_id, user_id, rn, t, 1.0::DOUBLE AS level, false AS limited FROM e WHERE rn = 1 UNION ALL
   SELECT e.event_id, e.user_id, e.rn, e.t, CASE WHEN greatest(0, z.level - (e.t - z.t) * 0.0001) + 1 > 5 THEN greatest(0, z.level - (e.t - z.t) * 0.0001) ELSE greatest(0, z.level - (e.t - z.t) * 0.0001) + 1 END,
     greatest(0, z.level - (e.t - z.t) * 0.0001) + 1 > 5 FROM z JOIN e ON e.user_id = z.user_id AND e.rn = z.rn + 1)
-  SELECT user_id::VARCHAR AS user_id, event_id, round(level, 4) AS level, limited FROM z""")
+  SELECT user_id::VARCHAR AS user_id, event_id, round(level, 4) AS level, limited FROM z"""
+
+
+@query(_LIMITS_SQL)
 def rate_limits(spark, sf_dir):
     out = state.fold(read(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id", state.token_bucket(5, 0.0001), "level double, limited boolean")
     return out.withColumn("level", F.round("level", 4))
 
 
+@query(_LIMITS_SQL)
+def rate_limits_in_slots(spark, sf_dir):
+    """The same buckets, each user's days in tasks of their own."""
+    out = buckets.limits(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 5, 0.0001)
+    return out.withColumn("level", F.round("level", 4))
+
+
 @query(f"""WITH RECURSIVE {_EVENTS_SQL}, z AS (SELECT event_id, user_id, rn, t, value AS average FROM e WHERE rn = 1 UNION ALL
   SELECT e.event_id, e.user_id, e.rn, e.t, (1 - exp(-(e.t - z.t) / 86400)) * e.value + exp(-(e.t - z.t) / 86400) * z.average FROM z JOIN e ON e.user_id = z.user_id AND e.rn = z.rn + 1)
   SELECT user_id::VARCHAR AS user_id, event_id, round(average, 4) AS average, rn AS n, round(CASE WHEN rn < 10 THEN 0.0 ELSE tanh(average / 100 * 1.83178 - 0.5493) END, 4) AS reputation FROM z""")
