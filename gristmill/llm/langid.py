@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import held_out
@@ -200,24 +200,34 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     texts are all above the bound learns from its shortest one. Every language
     keeps its whole sample, however short another's is. No such row: None.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & ~held_out("id") & F.col("text").rlike(r"\p{L}"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & ~held_out("id"))
     rows = rows.withColumn("h", F.xxhash64("id"))
     # Rows that come into question at all: some twenty times the sample of a large language, by hash alone.
     share = F.least(F.lit(1.0), F.lit(20.0 * docs_per_language) / F.col("n"))
-    known = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).select("lang", F.greatest(F.col("least").cast("double"), (share * 2 - 1) * 2.0**63).alias("cut"))
+    known = rows.filter(F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).select("lang", F.greatest(F.col("least").cast("double"), (share * 2 - 1) * 2.0**63).alias("cut"))
     long = F.length("text") > chars_per_language
     order = Window.partitionBy("lang").orderBy("long", "size", "h", "id", "text")
-    sample = (
-        rows.join(F.broadcast(known), "lang")  # one row a language
-        .filter(F.col("h").cast("double") <= F.col("cut"))
-        .withColumns({"long": long, "size": F.when(long, F.length("text")).otherwise(0)})
-        .withColumn("r", F.row_number().over(order))
-        .filter(F.col("r") <= docs_per_language)
-        .withColumn("upto", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter((F.col("upto") <= chars_per_language) | (F.col("r") == 1))
-    )
+
+    def sample(some: DataFrame) -> list[Row]:
+        chosen = (
+            some.filter(F.col("text").rlike(r"\p{L}"))
+            .withColumns({"long": long, "size": F.when(long, F.length("text")).otherwise(0)})
+            .withColumn("r", F.row_number().over(order))
+            .filter(F.col("r") <= docs_per_language)
+            .withColumn("upto", F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("rows", F.count("*").over(Window.partitionBy("lang")))
+            .filter((F.col("upto") <= chars_per_language) | (F.col("r") == 1))
+        )
+        return chosen.orderBy("lang", "r").select("lang", "text", "rows").collect()
+
+    found = sample(rows.join(F.broadcast(known), "lang").filter(F.col("h").cast("double") <= F.col("cut")))  # one row a language
+    # Labels whose rows mostly lack letters: their sample is drawn from all their rows.
+    full = {r["lang"] for r in found if r["rows"] >= docs_per_language}
+    scarce = [r["lang"] for r in known.filter(F.col("cut") < 2.0**63).select("lang").collect() if r["lang"] not in full]
+    if scarce:
+        found = [r for r in found if r["lang"] not in set(scarce)] + sample(rows.filter(F.col("lang").isin(scarce)))
     texts: dict[str, list[str]] = {}
-    for row in sample.orderBy("lang", "r").select("lang", "text").collect():
+    for row in sorted(found, key=lambda r: r["lang"]):
         texts.setdefault(row["lang"], []).append(row["text"])
     return LanguageModel({k: "\n".join(v) for k, v in texts.items()}) if texts else None
 
