@@ -77,9 +77,19 @@ CLASSES = {
 }
 
 
-def class_rule(symbol: str, kind: str, pattern: str, score: float = 1.0) -> MailRule:
-    """A rule that matches ``pattern`` against the texts of a class."""
-    return MailRule(symbol, score, lambda d: d.m(CLASSES[kind] if d.arrays else CLASSES[kind].replace("array_to_string", "array_join"), pattern))
+#: Classes whose text is one header, by its name: folded case and no leading space, or as it stands.
+NAMED = {"header": "(?im)^{}:[ ]*(.*)", "mimeheader": "(?im)^{}:[ ]*(.*)", "rawheader": "(?m)^{}:(.*)"}
+
+
+def class_text(kind: str, of: str | None = None) -> str:
+    """SQL of the text of a class; ``of`` names the header that a header class reads."""
+    return f"regexp_extract(raw, '{NAMED[kind].format(of)}', 1)" if of else CLASSES[kind]
+
+
+def class_rule(symbol: str, kind: str, pattern: str, score: float = 1.0, of: str | None = None) -> MailRule:
+    """A rule that matches ``pattern`` against the texts of a class, of the header named ``of`` if given."""
+    text = class_text(kind, of)
+    return MailRule(symbol, score, lambda d: d.m(text if d.arrays else text.replace("array_to_string", "array_join"), pattern))
 
 
 def _both(*tests: Callable[[Dialect], str]) -> Callable[[Dialect], str]:

@@ -144,7 +144,7 @@ CLASS_RULES = [
     for k, p in {
         "header": "(?i)lee", "rawheader": "Ann", "allheader": "(?im)^x-mailer:", "mimeheader": "(?i)utf-8", "mime": "(?i)password", "rawmime": "<p>", "url": "[.]example", "email": "(?i)^bob@", "body": "(?i)copyright", "sabody": "(?i)^re:", "sarawbody": "[#%&*$]{3}", "words": "(^| )the( |$)", "rawwords": "(^| )[A-Z]{4,}( |$)", "stemwords": "(^| )[a-z]+ing[^a-z]", "selector": "^dr",
     }.items()
-]
+] + [mailkeys.class_rule(f"RE_{k.upper()}_{h.upper()}", k, p, of=h) for k, h, p in (("header", "subject", "^Re: "), ("header", "To", "<bob@"), ("header", "X-Mailer", "[0-9]"), ("mimeheader", "content-type", "^multipart"), ("rawheader", "Subject", "^ [A-Z ]+$"), ("rawheader", "subject", "."))]
 
 
 @query(f"WITH {M_SQL} {mailrules.findings_sql('m', 'doc_id', CLASS_RULES)}")

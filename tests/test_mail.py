@@ -1,7 +1,7 @@
 """Single rules on messages written by hand: met, and not met."""
 
 import pytest
-from gristmill.operators import mailmodules, mailrules
+from gristmill.operators import mailkeys, mailmodules, mailrules
 from pyspark.sql import functions as F
 
 INTS = {"n_to", "n_to_named", "n_to_named_addr", "n_to_env", "n_rcpt", "n_received", "n_received_tls", "hours", "n_urls", "n_images"}
@@ -51,3 +51,11 @@ def test_doubled_dots_make_an_address_invalid(spark):
     made = [(a, *((CLEAN | {"reply_addr": a, "reply_to": a}).get(c) for c in mailrules.COLUMNS)) for a in ("a@b.c", "a..b@c.d", "a@b..c", "a@.b.c", "a@b.c.", "a@b", "a@-.c")]
     found = mailrules.findings(spark.createDataFrame(made, f"name string, {schema}"), "name", mailrules.RULES).filter("symbol = 'REPLYTO_INVALID'").collect()
     assert {r.name for r in found} == {"a@b..c", "a@.b.c", "a@b.c.", "a@b"}
+
+
+def test_header_classes_read_the_header_that_is_named(spark):
+    schema = ", ".join(f"{c} {'int' if c in INTS else 'boolean' if c == 'last_tls' else 'string'}" for c in mailrules.COLUMNS)
+    raw = "Subject:  Re: Lunch\nsubject: second\nTo: Bob <bob@x>\nX-Empty:\n"
+    rows = spark.createDataFrame([("m", *((CLEAN | {"raw": raw}).get(c) for c in mailrules.COLUMNS))], f"name string, {schema}")
+    rules = [mailkeys.class_rule(str(i), k, p, of=h) for i, (k, h, p) in enumerate([("header", "SUBJECT", "^Re: Lunch$"), ("rawheader", "Subject", "^  Re: Lunch$"), ("rawheader", "SUBJECT", "."), ("header", "To", "^Bob"), ("header", "Subject", "second"), ("header", "X-Empty", "."), ("header", "Cc", ".")])]
+    assert {r.symbol for r in mailrules.findings(rows, "name", rules).collect()} == {"0", "1", "3"}
