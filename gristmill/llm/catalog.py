@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import alignment, bytepair, decontaminate, divergence, langid, mixing, orderhash, repeats, secrets, tokenfile, toxicity, urlfilter
-from gristmill.llm.common import held_out, shared_dir, table
+from gristmill.llm.common import held_out, settle, shared_dir, table
 from gristmill.llm.jaccard import jaccard_classes
 from gristmill.llm.oracle import ORACLE  # noqa: F401  read by the entry point
 
@@ -40,8 +40,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits of a history: the documents of even ids, then all; the second skips what the ledger has of the first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.scan(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
+    ledger = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    secrets.scan_new(docs.filter("doc_id % 2 = 0"), None, secrets.RULES + secrets.MORE_RULES).write.parquet(ledger)
+    skipped = settle(secrets.read_ledger(spark, ledger).groupBy("blob").agg(F.count("*").alias("n_skipped")))
+    found = secrets.scan(docs, ledger).join(skipped, "blob", "left").withColumn("n_skipped", F.coalesce("n_skipped", F.lit(0)))
 
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -49,7 +53,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("found", lambda s: s["rank"] < len(secrets.RULES))
     kinds = F.transform("found", lambda s: s["kind"])
     counts = [(F.size("found") - F.size(F.array_remove(kinds, r.kind))).cast("long").alias(f"n_{r.kind}") for r in secrets.RULES]
-    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), "n_skipped")
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

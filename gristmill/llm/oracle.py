@@ -18,7 +18,8 @@ s AS ({_kind(0, "assign", _ASSIGN, 2, 6)} UNION ALL {_kind(1, "access", "AKIA[A-
   UNION ALL {_kind(3, "key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0)} UNION ALL {_kind(4, "jwt", _TOKEN, 0, 0)} UNION ALL {_kind(5, "login", _LOGIN, 0, 0)}),
 a AS (SELECT doc_id, string_agg(kind || ':' || start::BIGINT || ':' || (start + length(hit))::BIGINT, ',' ORDER BY start, rank) AS spans, string_agg(kind || ':' || start::BIGINT || ':' || (start + length(hit))::BIGINT, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
   count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM s GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  6 * max(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY text) AS n_skipped FROM d LEFT JOIN a USING (doc_id)"""
 
 #: The mix as windows over whole sources: the cut is the last finish time within the budget.
 MIXING = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),

@@ -15,6 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import lookup
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -97,13 +99,13 @@ def scan_new(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     rows and other columns, whatever their names, do not matter.
     """
     named = with_blob(versions.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text")
-    blobs = named.groupBy("blob").agg(F.first("text").alias("text"))
     every = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        todo = blobs.withColumn("todo", every)
-    else:
+        due = named.withColumn("todo", every)
+    else:  # what was scanned before goes before any text is shuffled, if the ledger's blobs can be broadcast
         seen = ledger.filter(F.col("rule").isin([r.key for r in rules])).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
+        due = lookup(named, seen, ["blob"]).withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
+    todo = due.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
     least = F.create_map(*[F.lit(x) for r in rules for x in (r.key, r.least)])
     due = {r: F.array_contains("todo", r.key) for r in rules}
     # Columns of their own, so that no pattern runs twice.
