@@ -77,3 +77,19 @@ def test_no_class_learned(spark):
     tokens = spark.createDataFrame([(1, 7)], "doc_id long, token long")
     counts, learns = bayes.learn_classes(tokens, spark.createDataFrame([], "doc_id long, label int"), [0, 1])
     assert bayes.classify_classes(tokens, counts, learns, [0, 1]).count() == 0
+
+
+def _clusters(spark, events):
+    df = spark.createDataFrame([(i, f"2024-01-{d:02d} 00:00:00", 1, e, float(v)) for i, d, e, v in events], "event_id long, ts string, user_id long, event_type string, value double")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return sorted((r.event_id, r.n_elements, r.total, r.cluster_score) for r in running.clusters(df, "user_id", "event_type", "ts", "event_id", F.col("value") - 50).collect())
+
+
+def test_three_elements_are_three_tenths(spark):
+    events = [(1, 1, "a", 49), (2, 2, "b", 49), (3, 3, "c", 50), (4, 4, "a", 50)]
+    assert _clusters(spark, events)[3] == (4, 3, -2.0, None)
+
+
+def test_a_repeated_event_is_one_new_element(spark):
+    events = [(1, 1, "a", 51), (1, 1, "a", 51), (1, 1, "a", 51), (2, 3, "b", 51)]
+    assert [r[1:3] for r in _clusters(spark, events)] == [(0, 0.0), (1, 1.0), (1, 2.0), (1, 3.0)]
