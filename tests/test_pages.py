@@ -145,6 +145,11 @@ def test_shown_and_hidden_text():
     assert markup.shown_text(page) == ("one & four", "T two three x")
 
 
+def test_references_without_semicolon_stay():
+    page = "<title>a &amp;&amp</title><p>b &amp;&amp c &lt; &copy &#65; &#66</p>"
+    assert markup.shown_text(page) == ("b &&amp c < &copy A &#66", "a &&amp")
+
+
 def test_tables(spark):
     rows = [(1, "<p>a", "x"), (1, "<p>a", "x"), (None, "<b><i></b>", "y"), (2, None, "z"), (3, "", "z")]
     df = spark.createDataFrame(rows, "page_id long, html string, node string")
