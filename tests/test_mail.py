@@ -59,3 +59,18 @@ def test_header_classes_read_the_header_that_is_named(spark):
     rows = spark.createDataFrame([("m", *((CLEAN | {"raw": raw}).get(c) for c in mailrules.COLUMNS))], f"name string, {schema}")
     rules = [mailkeys.class_rule(str(i), k, p, of=h) for i, (k, h, p) in enumerate([("header", "SUBJECT", "^Re: Lunch$"), ("rawheader", "Subject", "^  Re: Lunch$"), ("rawheader", "SUBJECT", "."), ("header", "To", "^Bob"), ("header", "Subject", "second"), ("header", "X-Empty", "."), ("header", "Cc", ".")])]
     assert {r.symbol for r in mailrules.findings(rows, "name", rules).collect()} == {"0", "1", "3"}
+
+
+def test_message_tests_call_every_test_on_messages():
+    from gristmill.plans import mail
+
+    assert {name for name, *_ in mail.TEST_CALLS} == set(mailkeys.TESTS)
+    assert {"is_recipients_sorted", "compare_recipients_distance"} < set(mailkeys.TESTS) and len(mail.TEST_RULES) == 20
+
+
+def test_tests_on_recipients(spark):
+    schema = ", ".join(f"{c} {'int' if c in INTS else 'boolean' if c == 'last_tls' else 'string'}" for c in mailrules.COLUMNS)
+    cases = {"clean": {}, "listed": {"n_to": 7, "n_to_named_addr": 7}, "six": {"n_to": 6, "n_to_named_addr": 6}, "near": {"to_addr": "an@a.example"}}
+    rows = spark.createDataFrame([(n, *((CLEAN | m).get(c) for c in mailrules.COLUMNS)) for n, m in cases.items()], f"name string, {schema}")
+    rules = [mailkeys.test_rule("sorted", "is_recipients_sorted"), mailkeys.test_rule("near", "compare_recipients_distance", 3)]
+    assert {(r.name, r.symbol) for r in mailrules.findings(rows, "name", rules).collect()} == {("listed", "sorted"), ("near", "near")}
