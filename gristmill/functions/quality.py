@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,20 +87,45 @@ def split_words(text: str) -> Column:
 MOST_WORDS = 8192
 
 
-def word_distance(a: str, b: str) -> Column:
-    """Edit distance in words of two arrays of words; beyond ``MOST_WORDS`` the difference of their lengths.
+def edits(a: Sequence[str], b: Sequence[str]) -> int:
+    """Edit distance of two sequences, one column of the table a step, its rows as the bits of one integer (H. Hyyrö, 2003)."""
+    lo, la, lb = 0, len(a), len(b)
+    while lo < min(la, lb) and a[lo] == b[lo]:
+        lo += 1
+    while lo < min(la, lb) and a[la - 1] == b[lb - 1]:
+        la, lb = la - 1, lb - 1
+    long, short = (a[lo:la], b[lo:lb]) if la >= lb else (b[lo:lb], a[lo:la])
+    if not len(short):
+        return len(long)
+    places: dict[str, int] = {}
+    for i, w in enumerate(long):
+        places[w] = places.get(w, 0) | 1 << i
+    full, top = (1 << len(long)) - 1, 1 << len(long) - 1
+    up, down, out = full, 0, len(long)
+    for w in short:
+        x = places.get(w, 0) | down
+        same = (((x & up) + up) ^ up | x) & full
+        right, left = down | full & ~(up | same), up & same
+        out += bool(right & top) - bool(left & top)
+        shifted = (right << 1 | 1) & full
+        up, down = (left << 1 | ~(shifted | same)) & full, shifted & same
+    return out
+
+
+def _distance(a: np.ndarray | None, b: np.ndarray | None) -> int | None:
+    if a is None or b is None:
+        return None
+    return abs(len(a) - len(b)) if max(len(a), len(b)) > MOST_WORDS else edits(a.tolist(), b.tolist())
 
-    Every distinct word becomes one character, so that the built-in distance of
-    texts counts words.
-    """
-    words = F.array_sort(F.array_distinct(F.concat(a, b)))
 
-    def coded(side: str) -> Column:
-        points = F.transform(side, lambda w: F.lpad(F.hex((F.array_position(words, w) + 255).cast("long")), 4, "0"))
-        return F.decode(F.unhex(F.array_join(points, "")), "UTF-16BE")
+def word_distance(a: str, b: str) -> Column:
+    """Edit distance in words of two arrays of words; beyond ``MOST_WORDS`` the difference of their lengths."""
+
+    @F.pandas_udf("int")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_distance(p, q) for p, q in zip(x, y, strict=True)], dtype="Int32")
 
-    long = F.greatest(F.size(a), F.size(b)) > MOST_WORDS
-    return F.when(long, F.abs(F.size(a) - F.size(b))).otherwise(F.levenshtein(coded(a), coded(b)))
+    return distance(F.col(a), F.col(b))
 
 
 def statistics_of(raw: bytes) -> tuple[float, float, float, float, float]:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from gristmill.functions import html as H
@@ -28,6 +29,19 @@ def _edits(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_edits_by_bits_are_those_of_the_table(seed):
+    r = random.Random(seed)
+    a, b = ([r.choice("abcdefg"[: 2 + seed % 6]) for _ in range(r.choice((0, 1, 5, 63, 64, 65, 130)))] for _ in range(2))
+    assert quality.edits(a, b) == _edits(a, b)
+
+
+def test_edits_of_the_longest_texts_take_no_table():
+    r, began = random.Random(1), time.process_time()
+    a, b = ([f"w{r.randrange(4000)}" for _ in range(quality.MOST_WORDS)] for _ in range(2))
+    assert 0 < quality.edits(a, b) < quality.MOST_WORDS and time.process_time() - began < 5
+
+
 def test_word_distance(spark):
     draw = random.Random(3)
     pairs = [([draw.choice("a bb ccc d é 中".split()) for _ in range(draw.randrange(9))], [draw.choice("a bb ccc d é 中".split()) for _ in range(draw.randrange(9))]) for _ in range(60)]
