@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import html as H
 from gristmill.functions import text as T
 from gristmill.functions import wordforms as W
-from gristmill.operators import fuzzystore, maps
+from gristmill.operators import fuzzystore, trigrams
 from gristmill.plans.mail import M_SQL, messages
 from gristmill.plans.registry import documents, query, read
 from gristmill.plans.web import _LINKS_SQL
@@ -52,19 +52,7 @@ def mixed_words(spark, sf_dir):
   SELECT doc_id, n_trigrams, lang AS guess, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS r FROM s) WHERE r = 1""")
 def trigram_language(spark, sf_dir):
     """The language whose trigram profile, counted over all labelled texts, makes each text likeliest."""
-    starts = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)), lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
-    grams = documents(spark, sf_dir).select("doc_id", "lang", F.explode(F.flatten(starts)).alias("g"))
-    profile = grams.filter("lang is not null").groupBy("lang", "g").agg(F.count("*").alias("n"))
-    totals = profile.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    base = F.round(F.log(1 / (F.col("total") + F.col("kinds"))) * 1e6).cast("long")
-    weights = profile.join(maps.small(totals), "lang").select("lang", "g", (F.round(F.log((F.col("n") + 1) / (F.col("total") + F.col("kinds"))) * 1e6).cast("long") - base).alias("gain"), base.alias("base"))
-    # One row a trigram with all its languages, so that a text's trigrams are not multiplied before they are summed.
-    counted = grams.groupBy("doc_id", "g").agg(F.count("*").alias("k"))
-    size = counted.groupBy("doc_id").agg(F.sum("k").alias("n_trigrams"))
-    met = counted.join(maps.small(weights), "g").groupBy("doc_id", "lang").agg(F.sum(F.col("k") * F.col("gain")).alias("gained"), F.max("base").alias("base"))
-    scored = met.join(size, "doc_id").withColumn("score", F.col("gained") + F.col("n_trigrams") * F.col("base"))
-    best = scored.groupBy("doc_id", "n_trigrams").agg(F.min(F.struct((-F.col("score")).alias("neg"), "lang")).alias("b"))
-    return best.select("doc_id", "n_trigrams", F.col("b.lang").alias("guess"), (-F.col("b.neg")).alias("score"))
+    return trigrams.likeliest(documents(spark, sf_dir), "doc_id", "lang")
 
 
 _HALVES = "len(w) // 2"

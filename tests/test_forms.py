@@ -1,7 +1,7 @@
 """Word forms and stored sets on cases written by hand."""
 
 from gristmill.functions import wordforms as W
-from gristmill.operators import fuzzystore
+from gristmill.operators import fuzzystore, trigrams
 from pyspark.sql import functions as F
 
 #: Words and stems that Porter's article gives.
@@ -30,3 +30,14 @@ def test_stored_digests(spark):
     assert [r.digest for r in fuzzystore.expire(stored, 50, 20).collect()] == ["d"]
     many = spark.createDataFrame([("d", i, "add", 1 + i, 1, i) for i in range(12)], "digest string, flag int, command string, value long, t long, id long")
     assert sorted(r.flag for r in fuzzystore.apply(many, "id").collect()) == list(range(4, 12))
+
+
+def test_trigram_profiles_sent_and_joined_agree(spark):
+    """Long texts are cut into slices, and profiles beyond the broadcast bound give the same rows."""
+    texts = [(1, "a", "aaaa Bbbb"), (2, "b", "bbbbb ééé"), (3, None, "aaa bbb bbb 123 ab"), (4, "c", "x1yy"), (5, "a", None), (6, None, "zzz"), (7, None, "b" * 50), (7, None, "aaa"), (None, "b", "ccc")]
+    df = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    want = sorted(map(tuple, trigrams.likeliest(df, "doc_id", "lang").collect()))
+    assert [r[:2] for r in want] == [(1, 4), (2, 4), (3, 3), (7, 49)]
+    assert sorted(map(tuple, trigrams.likeliest(df, "doc_id", "lang", most=0).collect())) == want
+    owner, codes = zip(*[(int(o), int(c)) for os, cs in trigrams._slices([(0, "abcd" * 400_000), (1, "abc")]) for o, c in zip(os, cs, strict=True)], strict=True)
+    assert owner.count(0) == 1_599_998 and owner.count(1) == 1 and len(set(codes)) == 4
