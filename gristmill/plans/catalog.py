@@ -233,13 +233,13 @@ c AS (SELECT token, count(*) FILTER (toxic = 1) AS spam_n, count(*) FILTER (toxi
 
 @query(f"WITH {_PAIR_SQL} SELECT * FROM c")
 def bayes_learn(spark, sf_dir):
-    return bayes.learn(bayes.tokens(documents(spark, sf_dir)), read(spark, sf_dir, "labels"), label_col="toxic")[0]
+    return bayes.learn_texts(documents(spark, sf_dir), read(spark, sf_dir, "labels"), label_col="toxic")[0]
 
 
-def _bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = bayes.tokens(documents(spark, sf_dir))
-    counts, learns = bayes.learn(tokens, read(spark, sf_dir, "labels"), label_col="toxic")
-    return bayes.classify(tokens, counts, learns)
+def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tokens of all texts, and what the labelled ones teach."""
+    docs = documents(spark, sf_dir)
+    return bayes.tokens(docs), *bayes.learn_texts(docs, read(spark, sf_dir, "labels"), label_col="toxic")
 
 
 _BAYES_SQL = f"""WITH {_PAIR_SQL}, l AS (SELECT count(*) FILTER (toxic = 1) AS sl, count(*) FILTER (toxic = 0) AS hl FROM labels),
@@ -250,12 +250,8 @@ s AS (SELECT doc_id, count(*) AS n_tokens, sum(round(ln(bp) * 1e9)::BIGINT)::DOU
 
 @query(f"{_BAYES_SQL} SELECT doc_id, n_tokens, round(lp, 4) AS ln_spam, round(lh, 4) AS ln_ham FROM s")
 def bayes_evidence(spark, sf_dir):
-    tokens = bayes.tokens(documents(spark, sf_dir))
-    counts, learns = bayes.learn(tokens, read(spark, sf_dir, "labels"), label_col="toxic")
-    met = tokens.join(counts, "token").crossJoin(F.broadcast(learns))  # learns is one row
-    bp, bh = bayes.token_probability(F.col("spam_learns"), F.col("ham_learns"))
-    met = met.withColumns({"bp": bp, "bh": bh}).filter(F.abs(F.col("bp") - 0.5) >= bayes.MIN_STRENGTH)
-    return met.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), *[F.round(F.sum(F.round(F.ln(c) * 1e9).cast("long")) / 1e9, 4).alias(n) for c, n in (("bp", "ln_spam"), ("bh", "ln_ham"))])
+    sums = bayes.evidence(*_evidence(spark, sf_dir))
+    return sums.select("doc_id", "n_tokens", F.round("ln_bp", 4).alias("ln_spam"), F.round("ln_bh", 4).alias("ln_ham"))
 
 
 def _tail(v: str) -> str:
@@ -265,12 +261,16 @@ def _tail(v: str) -> str:
 
 @query(f"{_BAYES_SQL} SELECT doc_id, n_tokens, round(CASE WHEN lp > -300 AND lh > -300 THEN ((1 - {_tail('lh')}) + 1 - (1 - {_tail('lp')})) / 2 ELSE 1 / (1 + exp(least(greatest(lh - lp, -500), 500))) END, 6) AS prob FROM s")
 def bayes_classify(spark, sf_dir):
-    return _bayes(spark, sf_dir).select("doc_id", "n_tokens", F.round("prob", 6).alias("prob"))
+    return bayes.classify(*_evidence(spark, sf_dir)).select("doc_id", "n_tokens", F.round("prob", 6).alias("prob"))
 
 
 @query()
 def bayes_evaluation(spark, sf_dir):
-    rows = _bayes(spark, sf_dir).join(read(spark, sf_dir, "labels"), "doc_id").filter("toxic is not null")
+    """Only texts with a label are judged, as only they are counted."""
+    docs, labels = documents(spark, sf_dir), read(spark, sf_dir, "labels")
+    known = maps.small(labels.filter("toxic is not null").select("doc_id", "toxic"), bayes.LABELS_BROADCAST)
+    of = docs.join(known.select("doc_id"), "doc_id", "left_semi")
+    rows = bayes.classify(bayes.tokens(of), *bayes.learn_texts(docs, labels, label_col="toxic")).join(known, "doc_id")
     return rows.agg(*bayes.evaluate(F.col("prob") > 0.5, F.col("toxic") == 1))
 
 

@@ -26,10 +26,10 @@ CLASSES = [0, 1, 2, 3]
   SELECT doc_id, n_tokens, c::INT AS class, round(1 / total, 6) AS prob FROM (SELECT *, sum(x) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, c) AS r FROM m)
   JOIN nt USING (doc_id) WHERE r = 1""")
 def bayes_classes(spark, sf_dir):
-    tokens = bayes.tokens(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
     labels = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).alias("label"))
-    counts, learns = bayes.learn_classes(tokens, labels, CLASSES)
-    return bayes.classify_classes(tokens, counts, learns, CLASSES).withColumn("prob", F.round("prob", 6))
+    counts, learns = bayes.learn_class_texts(docs, labels, CLASSES)
+    return bayes.classify_classes(bayes.tokens(docs), counts, learns, CLASSES).withColumn("prob", F.round("prob", 6))
 
 
 _COUNTS_SQL = f"{_TOKENS_SQL}, c AS (SELECT token, count(*) FILTER (toxic = 1) AS spam_n, count(*) FILTER (toxic = 0) AS ham_n FROM t JOIN labels USING (doc_id) GROUP BY token)"
@@ -39,16 +39,16 @@ _COUNTS_SQL = f"{_TOKENS_SQL}, c AS (SELECT token, count(*) FILTER (toxic = 1) A
   k AS (SELECT token, spam_n + ham_n AS n, greatest(spam_n, ham_n) AS most, mean FROM c, m)
   SELECT token, n, CASE WHEN n = 0 OR most / n <= 0.99 THEN 'common' WHEN n < mean THEN 'infrequent' WHEN most / n > 0.75 THEN 'significant' ELSE 'insignificant' END AS kind FROM k""")
 def bayes_expiry(spark, sf_dir):
-    counts = bayes.learn(bayes.tokens(documents(spark, sf_dir)), read(spark, sf_dir, "labels"), label_col="toxic")[0]
+    counts = bayes.learn_texts(documents(spark, sf_dir), read(spark, sf_dir, "labels"), label_col="toxic")[0]
     return bayes.expiry(counts, ["spam_n", "ham_n"]).select("token", (F.col("spam_n") + F.col("ham_n")).alias("n"), "kind")
 
 
 @query(f"""WITH {_TOKENS_SQL} SELECT token, count(*) FILTER (toxic = 1 AND quality = 1) AS spam_n, count(*) FILTER (toxic = 0 AND quality = 1) AS ham_n FROM t JOIN labels USING (doc_id) GROUP BY token""")
 def bayes_unlearn(spark, sf_dir):
     """All labels are learned, then those of low quality are taken back."""
-    tokens, labels = bayes.tokens(documents(spark, sf_dir)), read(spark, sf_dir, "labels")
-    learned = bayes.learn(tokens, labels, label_col="toxic")[0]
-    return bayes.merge(learned, bayes.learn(tokens, labels.filter("quality is null or quality != 1"), label_col="toxic")[0], -1)
+    docs, labels = documents(spark, sf_dir), read(spark, sf_dir, "labels")
+    learned = bayes.learn_texts(docs, labels, label_col="toxic")[0]
+    return bayes.merge(learned, bayes.learn_texts(docs, labels.filter("quality is null or quality != 1"), label_col="toxic")[0], -1)
 
 
 @query("""SELECT md5(text) AS digest, min(doc_id) AS learned_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY md5(text)""")

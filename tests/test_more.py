@@ -7,6 +7,7 @@ import time
 import pytest
 from gristmill.functions import html as H
 from gristmill.functions import quality
+from gristmill.functions import text as T
 from gristmill.operators import bayes, running
 from gristmill.plans import catalog
 from pyspark.sql import functions as F
@@ -107,3 +108,24 @@ def test_three_elements_are_three_tenths(spark):
 def test_a_repeated_event_is_one_new_element(spark):
     events = [(1, 1, "a", 51), (1, 1, "a", 51), (1, 1, "a", 51), (2, 3, "b", 51)]
     assert [r[1:3] for r in _clusters(spark, events)] == [(0, 0.0), (1, 1.0), (1, 2.0), (1, 3.0)]
+
+
+def test_tokens_made_in_tasks_are_the_hashes_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(bayes, "ROWS", 2)  # many batches of output
+    texts = [(1, "One two, one TWO three"), (2, ""), (3, None), (4, "alone"), (5, "É x\u212ay z9 z9 z9"), (6, "a b a b c")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = df.select("doc_id", F.explode(F.array_distinct(T.word_pairs(F.col("text")))).alias("p")).select("doc_id", T.hash60(F.col("p")))
+    assert sorted(map(tuple, bayes.tokens(df).collect())) == sorted(map(tuple, want.collect()))
+    labels = spark.createDataFrame([(1, 1), (5, 0), (6, None), (6, 1), (9, 1)], "doc_id long, label int")
+    for a, b in zip(bayes.learn_texts(df, labels), bayes.learn(bayes.tokens(df), labels), strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    for a, b in zip(bayes.learn_class_texts(df, labels, [0, 1]), bayes.learn_classes(bayes.tokens(df), labels, [0, 1]), strict=True):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_unlabelled_texts_are_not_learned(spark):
+    """Labels meet the texts before these are cut into words, and only whole texts' tokens meet the counts."""
+    df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    counts, _ = bayes.learn_texts(df, spark.createDataFrame([(1, 1)], "doc_id long, label int"))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Join") and [r.spam_n for r in counts.collect()] == [1]
