@@ -41,9 +41,17 @@ def _band(value: Column, best: tuple[float, float], *others: tuple[Column, float
     return out.otherwise(0.2)
 
 
-def confidence(text: str) -> Column:
-    """How likely a text is prose and not debris, 0 to 1; short texts are 1, a null text is null."""
-    c = text_quality(text)
+def with_quality(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the columns of ``text_quality``: each text is read once for each, however often they are used."""
+    return docs.withColumns(text_quality(text))
+
+
+def confidence(text: str | None = None) -> Column:
+    """How likely a text is prose and not debris, 0 to 1; short texts are 1, a null text is null.
+
+    Without ``text`` it goes by the columns that ``with_quality`` made.
+    """
+    c = text_quality(text) if text else {n: F.col(n) for n in ("total", "letters", "spaces", "printable", "words", "word_chars")}
     black = F.when(c["total"] > c["spaces"], c["total"] - c["spaces"])
     mean, space = F.try_divide(c["word_chars"], c["words"]), F.try_divide(c["spaces"], c["total"])
 

@@ -17,8 +17,8 @@ from gristmill.plans.registry import documents, query, read
     + 0.15 * CASE WHEN mean >= 3 AND mean <= 10 THEN 1.0 WHEN mean >= 2 AND mean < 3 THEN 0.7 WHEN mean > 10 AND mean <= 15 THEN 0.5 ELSE 0.2 END
     + 0.15 * CASE WHEN share >= 0.08 AND share <= 0.25 THEN 1.0 WHEN share > 0.25 AND share <= 0.4 THEN 0.6 WHEN share > 0 AND share < 0.08 THEN 0.5 ELSE 0.2 END END, 6) AS confidence FROM r""")
 def text_confidence(spark, sf_dir):
-    c = quality.text_quality("text")
-    return documents(spark, sf_dir).select("doc_id", c["letters"].alias("letters"), c["words"].alias("words"), c["word_chars"].alias("word_chars"), F.round(quality.confidence("text"), 6).alias("confidence"))
+    rows = quality.with_quality(documents(spark, sf_dir).select("doc_id", "text"), "text")
+    return rows.select("doc_id", "letters", "words", "word_chars", F.round(quality.confidence(), 6).alias("confidence"))
 
 
 @query(r"""SELECT doc_id, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) AS latin, length(regexp_replace(text, '[^\p{Cyrillic}]', '', 'g')) AS cyrillic, length(regexp_replace(text, '[^\p{Greek}]', '', 'g')) AS greek,
