@@ -7,6 +7,7 @@ import time
 import pytest
 from gristmill.functions import html as H
 from gristmill.functions import quality
+from gristmill.functions import strings as S
 from gristmill.functions import text as T
 from gristmill.operators import bayes, running
 from gristmill.plans import catalog
@@ -129,3 +130,22 @@ def test_unlabelled_texts_are_not_learned(spark):
     counts, _ = bayes.learn_texts(df, spark.createDataFrame([(1, 1)], "doc_id long, label int"))
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("MapInArrow") < plan.index("Join") and [r.spam_n for r in counts.collect()] == [1]
+
+
+def test_base32_is_that_of_the_bits(spark):
+    texts = ["", "a", "ab", "abc", "abcd", "abcde", "abcdef", "é\u20ac", None, "x" * 32, "xyz" * 70_000]
+    got = {r.t: r.c for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.base32(F.col("t")).alias("c")).collect()}
+    for t in texts:
+        if t is None:
+            assert got[t] is None
+            continue
+        bits = "".join(f"{byte:08b}" for byte in t.encode())
+        assert got[t] == "".join(S._BASE32[int(bits[i : i + 5].ljust(5, "0"), 2)] for i in range(0, len(bits), 5))
+
+
+def test_confidence_reads_each_text_once_a_count(spark):
+    df = spark.createDataFrame([(1, "some words of prose"), (2, None), (3, "!!!???!!!???"), (4, "x")], "doc_id long, text string")
+    made = quality.with_quality(df, "text").select("doc_id", quality.confidence().alias("c"))
+    assert made.collect() == df.select("doc_id", quality.confidence("text").alias("c")).collect()
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_replace") == 3 and plan.count("regexp_extract_all") <= 2
