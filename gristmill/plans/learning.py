@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from gristmill.operators import bayes, neural, scoring
+from gristmill.operators import bayes, maps, neural, scoring
 from gristmill.plans import catalog
 from gristmill.plans.registry import documents, query, read
 
@@ -83,9 +84,17 @@ def neural_scores(spark, sf_dir):
     """A perceptron over symbol scores, trained on the balanced set of labels; scores every document."""
     names = [r.symbol for r in catalog._rules()]
     made = neural.symbol_features(names)
-    rows = scoring.findings(documents(spark, sf_dir).select("doc_id", "text"), catalog._rules()).withColumns(made).select("doc_id", *made)
-    sample = bayes.balanced(read(spark, sf_dir, "labels"), "doc_id", "toxic").select("doc_id", F.col("toxic").cast("double").alias("y"))
-    model = neural.train(rows.join(sample, "doc_id"), list(made), "y")
+
+    def features(docs):
+        return scoring.findings(docs, catalog._rules()).withColumns(made)
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    # Training reads the drawn texts alone; every text's rules run once more, for its score.
+    sample = maps.small(bayes.balanced(read(spark, sf_dir, "labels"), "doc_id", "toxic").select("doc_id", F.col("toxic").cast("double").alias("y")), bayes.LABELS_BROADCAST)
+    drawn = features(docs.join(sample, "doc_id")).select(*made, "y").persist(StorageLevel.DISK_ONLY)
+    model = neural.train(drawn, list(made), "y")
+    drawn.unpersist()
+    rows = features(docs).select("doc_id", *made)
     return neural.score(model, rows).select("doc_id", F.round("neural_score", 6).alias("neural_score"))
 
 

@@ -9,7 +9,7 @@ from gristmill.functions import html as H
 from gristmill.functions import quality
 from gristmill.functions import strings as S
 from gristmill.functions import text as T
-from gristmill.operators import bayes, running
+from gristmill.operators import bayes, neural, running
 from gristmill.plans import catalog
 from pyspark.sql import functions as F
 
@@ -149,3 +149,18 @@ def test_confidence_reads_each_text_once_a_count(spark):
     assert made.collect() == df.select("doc_id", quality.confidence("text").alias("c")).collect()
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("regexp_replace") == 3 and plan.count("regexp_extract_all") <= 2
+
+
+def test_perceptron_trains_on_stored_features_of_the_drawn_texts(spark, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    def train(rows, features, label_col):
+        assert rows.storageLevel.useDisk and set(rows.columns) == {*features, label_col}
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan
+        raise Enough
+
+    monkeypatch.setattr(neural, "train", train)
+    with pytest.raises(Enough):
+        catalog.QUERIES["neural_scores"](spark, "/root/testdata/sf0.001")
