@@ -91,43 +91,46 @@ def split_words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[^ \t\r\n]+"), F.lit(0))
 
 
-#: Fixed value: arrays with more words than this are compared by length only.
+#: Fixed value: words of the longer sequence that one pass over the shorter takes, as the bits of one integer. No result depends on it.
 MOST_WORDS = 8192
 
 
-def edits(a: Sequence[str], b: Sequence[str]) -> int:
-    """Edit distance of two sequences, one column of the table a step, its rows as the bits of one integer (H. Hyyrö, 2003)."""
+def edits(a: Sequence[str], b: Sequence[str], block: int = MOST_WORDS) -> int:
+    """Edit distance of two sequences, one column of the table a step, its rows as the bits of one integer (H. Hyyrö, 2003).
+
+    Rows beyond ``block`` go in blocks, each of which begins with the steps along the last row of the one above. So what
+    is held grows with the two lengths alone; time grows with their product.
+    """
     lo, la, lb = 0, len(a), len(b)
     while lo < min(la, lb) and a[lo] == b[lo]:
         lo += 1
     while lo < min(la, lb) and a[la - 1] == b[lb - 1]:
         la, lb = la - 1, lb - 1
     long, short = (a[lo:la], b[lo:lb]) if la >= lb else (b[lo:lb], a[lo:la])
-    if not len(short):
-        return len(long)
-    places: dict[str, int] = {}
-    for i, w in enumerate(long):
-        places[w] = places.get(w, 0) | 1 << i
-    full, top = (1 << len(long)) - 1, 1 << len(long) - 1
-    up, down, out = full, 0, len(long)
-    for w in short:
-        x = places.get(w, 0) | down
-        same = (((x & up) + up) ^ up | x) & full
-        right, left = down | full & ~(up | same), up & same
-        out += bool(right & top) - bool(left & top)
-        shifted = (right << 1 | 1) & full
-        up, down = (left << 1 | ~(shifted | same)) & full, shifted & same
-    return out
+    rise, fall = bytearray(b"\x01") * len(short), bytearray(len(short))
+    for begin in range(0, len(long), block):
+        rows = long[begin : begin + block]
+        places: dict[str, int] = {}
+        for i, w in enumerate(rows):
+            places[w] = places.get(w, 0) | 1 << i
+        full, top = (1 << len(rows)) - 1, len(rows) - 1
+        up, down = full, 0
+        for j, w in enumerate(short):
+            x = places.get(w, 0) | down | fall[j]
+            same = (((x & up) + up) ^ up | x) & full
+            right, left = down | full ^ (up | same), up & same
+            shifted = right << 1 & full | rise[j]
+            up, down = left << 1 & full | fall[j] | full ^ (shifted | same), shifted & same
+            rise[j], fall[j] = right >> top, left >> top
+    return len(long) + rise.count(1) - fall.count(1)
 
 
 def _distance(a: np.ndarray | None, b: np.ndarray | None) -> int | None:
-    if a is None or b is None:
-        return None
-    return abs(len(a) - len(b)) if max(len(a), len(b)) > MOST_WORDS else edits(a.tolist(), b.tolist())
+    return None if a is None or b is None else edits(a.tolist(), b.tolist())
 
 
 def word_distance(a: str, b: str) -> Column:
-    """Edit distance in words of two arrays of words; beyond ``MOST_WORDS`` the difference of their lengths."""
+    """Edit distance in words of two arrays of words, however long they are."""
 
     @F.pandas_udf("int")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:

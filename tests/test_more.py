@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import numpy as np
 import pytest
 from gristmill.functions import html as H
 from gristmill.functions import quality
@@ -52,6 +53,44 @@ def test_word_distance(spark):
     assert all(r.d == (abs(len(r.a) - len(r.b)) if len(r.a) > quality.MOST_WORDS else _edits(r.a, r.b)) for r in got)
 
 
+def _edits_by_rows(a, b):
+    """As ``_edits``, a row of the table at once."""
+    at = np.arange(len(b) + 1)
+    names = {w: i for i, w in enumerate({*a, *b})}
+    x, row = np.array([names[w] for w in b], dtype=np.int64), at.copy()
+    for i, w in enumerate(a, 1):
+        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (x != names[w]))])
+        row = np.minimum.accumulate(best - at) + at
+    return int(row[-1])
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 64])
+def test_edits_do_not_depend_on_blocks(block):
+    r = random.Random(block)
+    for i in range(60):
+        a, b = ([r.choice("abcdefg"[: 1 + i % 7]) for _ in range(r.choice((0, 1, 5, 63, 64, 65, 130)))] for _ in range(2))
+        assert quality.edits(a, b, block) == quality.edits(a, b) == _edits(a, b) == _edits_by_rows(a, b)
+
+
+@pytest.mark.parametrize("words", [quality.MOST_WORDS, quality.MOST_WORDS + 1, 2 * quality.MOST_WORDS + 5])
+def test_word_distance_is_one_rule_at_every_length(spark, words):
+    r = random.Random(words)
+    a = [f"w{i}" for i in range(words)]
+    swapped = [w if i % 1000 else "other" for i, w in enumerate(a)]
+    pairs = [(a, swapped, len(range(0, words, 1000))), (a, ["new", *a[5:]], 5), (a[::-1], a, None), ([r.choice("abc") for _ in a], [r.choice("abcd") for _ in range(3000)], None)]
+    got = spark.createDataFrame(pairs, "a array<string>, b array<string>, want int").withColumn("d", quality.word_distance("a", "b")).collect()
+    assert [g.d for g in got] == [_edits_by_rows(p, q) if d is None else d for p, q, d in pairs]
+
+
+def test_turn_distances_of_long_turns(spark, tmp_path):
+    said = [f"w{i}" for i in range(quality.MOST_WORDS + 100)]
+    turns = [(1, 0, " ".join(said)), (1, 1, " ".join(["x", *said[1:-1], "y"])), (1, 2, "x"), (2, 0, "x y"), (2, 1, " ".join(said))]
+    spark.createDataFrame([(c, t, "user", w) for c, t, w in turns], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.distance, r.words) for r in catalog.QUERIES["turn_distances"](spark, str(tmp_path)).collect()}
+    n = len(said)
+    assert got == {(1, 1): (2, 2 * n), (1, 2): (n - 1, n + 1), (2, 1): (n, n + 2)}
+
+
 def test_turn_distances(spark):
     data = "/root/testdata/sf0.01"
     said = {(r.conv_id, r.turn): r.text.lower().split() for r in spark.read.parquet(f"{data}/conversations.parquet").collect() if r.conv_id < 8}
